@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lindero.llm import bpe, licenses, packing, simhash, tokencount
-from lindero.llm.common import table
+from lindero.llm import bpe, langid, licenses, packing, quality, simhash, tokencount
+from lindero.llm.common import held_out, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    return langid.predict(docs, langid.train(docs.where("not held_out")), ["doc_id", "held_out"])
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +25,13 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    trees = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = quality.score(docs, trees, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,6 +44,6 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op4_simhash_neardup, op7_pack_sequences, op9_license_scan, op10_bpe_roundtrip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_token_counts, op4_simhash_neardup, op6_quality_score, op7_pack_sequences, op9_license_scan, op10_bpe_roundtrip)}
 
 ORACLES: dict[str, str] = {"op9_license_scan": licenses.scan_sql()}

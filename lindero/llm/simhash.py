@@ -83,7 +83,8 @@ def _flips() -> F.Column:
 
 def candidates(distinct: DataFrame) -> DataFrame:
     """The fingerprints that have another one within Manhattan distance 2 of their segment popcounts."""
-    cells = distinct.select("fp", _popcounts(F.col("fp")).alias("own")).select("fp", F.explode(_grid()).alias("cell")).where("cell is not null")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = distinct.repartition(parts, "fp").select("fp", _popcounts(F.col("fp")).alias("own")).select("fp", F.explode(_grid()).alias("cell")).where("cell is not null")
     shared = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("cell")
     return cells.join(shared, "cell", "left_semi").select("fp").distinct()
 
@@ -119,10 +120,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """id_col, fingerprint (16 hex digits), component_id (the smallest id that can be reached over links of 2 bits or fewer)."""
     rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "id"))
-    first = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    first = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("first")))
     labels = components(links(candidates(first.select("fp"))))
     named = labels.join(first, "fp")
     least = named.groupBy("label").agg(F.min("first").alias("least"))
     merged = named.join(least, "label").select("fp", "least")
-    home = first.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # Both sides of the last join come from files, so that a fingerprint of very many copies can be split.
+    home = cut_lineage(first.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return rows.join(home, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
