@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import bpe, langid, licenses, packing, quality, simhash, tokencount
+from lindero.llm import bpe, langid, licenses, packing, quality, simhash, suffixes, tokencount
 from lindero.llm.common import held_out, table
 
 
@@ -36,6 +36,10 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_token_counts, op4_simhash_neardup, op6_quality_score, op7_pack_sequences, op9_license_scan, op10_bpe_roundtrip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_token_counts, op4_simhash_neardup, op6_quality_score, op7_pack_sequences, op8_suffix_repeats, op9_license_scan, op10_bpe_roundtrip)}
 
 ORACLES: dict[str, str] = {"op9_license_scan": licenses.scan_sql()}
