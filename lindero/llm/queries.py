@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import bpe, langid, licenses, packing, quality, simhash, suffixes, tokencount
+from lindero.llm import bpe, langid, licenses, packing, quality, simhash, suffixes, tokencount, topk
 from lindero.llm.common import held_out, table
 
 
@@ -25,6 +25,10 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     trees = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
@@ -48,6 +52,6 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_token_counts, op4_simhash_neardup, op6_quality_score, op7_pack_sequences, op8_suffix_repeats, op9_license_scan, op10_bpe_roundtrip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_token_counts, op4_simhash_neardup, op5_exact_topk, op6_quality_score, op7_pack_sequences, op8_suffix_repeats, op9_license_scan, op10_bpe_roundtrip)}
 
-ORACLES: dict[str, str] = {"op9_license_scan": licenses.scan_sql()}
+ORACLES: dict[str, str] = {"op5_exact_topk": topk.top_k_sql(), "op9_license_scan": licenses.scan_sql()}
