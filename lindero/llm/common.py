@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch that goes to a Python worker. Texts are long, so the default of 10,000 is too many.
 BATCH_ROWS = 500
@@ -41,6 +42,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written_table(df: DataFrame) -> DataFrame:
+    """As cut_lineage, as a Parquet table beside the checkpoints: for wide or long results, which compress well there."""
+    spark = df.sparkSession
+    use_shared_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def held_out() -> F.Column:
     """crc32(doc_id as text) mod 5 is 0; false where doc_id is null."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -70,24 +80,24 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, schema: str, make:
     one list or array for each field of schema.
     """
     bounded_batches(df.sparkSession)
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    out = src.drop("__text").schema
+    names = [*keep] if text_col in keep else [*keep, text_col]
+    at = names.index(text_col)
+    src = df.select(*[F.col(f"`{c}`") for c in names]).withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
     added = df.sparkSession.createDataFrame([], schema).schema
     types = [_arrow(f.dataType.simpleString()) for f in added]
-    for f in added:
-        out = out.add(f)
-    names = out.fieldNames()
+    out = StructType(src.schema.fields[: len(keep)] + added.fields)
+    labels = out.fieldNames()
 
     def run(batches):
         fn = make()
         for batch in batches:
-            texts = utf8(batch.column(batch.num_columns - 1))
+            texts = utf8(batch.column(at))
             for a, b in slices([len(t) for t in texts]):
                 cols = fn(texts[a:b])
                 part = batch.slice(a, b - a)
-                arrays = [part.column(i) for i in range(batch.num_columns - 1)]
+                arrays = [part.column(i) for i in range(len(keep))]
                 arrays += [pa.array(c, type=t) for c, t in zip(cols, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                yield pa.RecordBatch.from_arrays(arrays, names=labels)
 
     return src.mapInArrow(run, out)
 
