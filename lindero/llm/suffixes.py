@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lindero.llm.common import bounded_batches, cut_lineage, utf8
+from lindero.llm.common import bounded_batches, utf8, written_table
 
 MIN_WORDS, GRAM = 50, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -128,25 +128,27 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     bounded_batches(docs.sparkSession)
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
     all_ = _suffixes(src, min_words, gram)
+    beside = all_.groupBy("gram").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
+    suffixes = written_table(all_.join(beside, "gram", "left_semi"))
     # One row for each different reach, which keeps its first place; a great many copies add up before the shuffle.
-    reaches = cut_lineage(all_.groupBy("gram", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("first"), F.first("windows").alias("windows")))
-    beside = reaches.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
-    near = cut_lineage(reaches.join(beside, "gram"))
+    reaches = suffixes.groupBy("gram", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("first"), F.min("windows").alias("windows"))
+    kinds = reaches.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
+    near = written_table(reaches.join(kinds, "gram"))
     full = F.expr("shiftleft(1L, windows) - 1")
     alike = near.where("kinds = 1").select("gram", "reach", "first", full.alias("repeated"), full.alias("own"), F.col("first.id").alias("first_id"))
     # Where neighbours differ: extend by the windows of one text for each reach.
     asked = near.where("kinds > 1").select(F.col("first.id").alias("id"), F.struct(F.col("first.at").alias("at"), "windows", "gram", "reach", "n").alias("r")).groupBy("id").agg(F.collect_list("r").alias("reaches"))
-    windows = cut_lineage(_windows(src.join(asked, "id").select("id", "text", "reaches"), min_words))
-    known = cut_lineage(windows.groupBy("window").agg(F.sum("n").alias("total"), F.min(F.struct("id", "at")).alias("start")).where("total > 1").select("window", "start"))
+    windows = written_table(_windows(src.join(asked, "id").select("id", "text", "reaches"), min_words))
+    known = written_table(windows.groupBy("window").agg(F.sum("n").alias("total"), F.min(F.struct("id", "at")).alias("start")).where("total > 1").select("window", "start"))
     bit = F.expr("shiftleft(1L, place)")
     extended = (
         windows.join(known, "window")
         .groupBy("gram", "reach")
         .agg(F.min(F.struct("id", F.expr("at - place").alias("at"))).alias("first"), F.bit_or(bit).alias("repeated"), F.bit_or(F.when(F.struct("id", "at") == F.col("start"), bit).otherwise(F.lit(0).cast("long"))).alias("own"), F.min("start.id").alias("first_id"))
     )
-    found = cut_lineage(alike.unionByName(extended))
+    found = written_table(alike.unionByName(extended))
     at_first = F.struct("id", "at") == F.col("first")
-    members = all_.join(found, ["gram", "reach"]).select(
+    members = suffixes.join(found, ["gram", "reach"]).select(
         "id", "at", "first_id",
         F.when(at_first, F.expr("repeated & ~own")).otherwise(F.col("repeated")).alias("cut"),
         F.when(at_first, F.col("own")).otherwise(F.lit(0).cast("long")).alias("keep"),
