@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import bpe, langid, licenses, packing, quality, simhash, suffixes, tokencount, topk
+from lindero.llm import bpe, langid, licenses, media, packing, quality, simhash, suffixes, tokencount, topk
 from lindero.llm.common import held_out, table
 
 
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs.where("not held_out")), ["doc_id", "held_out"])
 
 
+def op2_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(table(spark, sf_dir, "documents"))).drop("error")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -52,6 +56,6 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_token_counts, op4_simhash_neardup, op5_exact_topk, op6_quality_score, op7_pack_sequences, op8_suffix_repeats, op9_license_scan, op10_bpe_roundtrip)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_media_jpeg, op3_token_counts, op4_simhash_neardup, op5_exact_topk, op6_quality_score, op7_pack_sequences, op8_suffix_repeats, op9_license_scan, op10_bpe_roundtrip)}
 
 ORACLES: dict[str, str] = {"op5_exact_topk": topk.top_k_sql(), "op9_license_scan": licenses.scan_sql()}
