@@ -2,7 +2,9 @@
 
 A segment is a sentence, a line or a paragraph. The notices come as a small fixed table; their
 number of bigrams bounds the number that a segment can have at the wanted Dice coefficient, so a
-hash join on that number keeps every other notice away from a segment. All of it is DataFrame
+hash join on that number keeps every other notice away from a segment. The same bound tells how many
+of a notice's bigrams a segment may lack; some words of it touch more than those, and a segment that
+has none of these words is out before its bigrams are made, as is a text. All of it is DataFrame
 functions.
 
 Nulls and edge cases: a null or empty text has no segment and no row; a segment of one word has no
@@ -12,6 +14,9 @@ that tie all are reported; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,9 @@ NOTICES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Words that nearly any English text has, and that so tell nothing.
+COMMON = set("a all and any are as at be by can do for from have if in is it may no not of on or that the these this to under use was we will with you".split())
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space as the scan knows it.
 _SPACE = "[ \\t\\r\\n]"
@@ -53,6 +61,21 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})  # noqa: B905
 
 
+def tell_tale(grams: list[str], threshold: float) -> list[str]:
+    """Words, long and less common ones first, that touch more of a notice's bigrams than a segment that reaches the threshold can lack."""
+    # Of m bigrams at least s are shared, where 2 s / (s + m) reaches the threshold.
+    m = len(grams)
+    least = next(s for s in range(1, m + 1) if 2.0 * s / (s + m) >= threshold)
+    chosen: list[str] = []
+    touched: set[str] = set()
+    for w in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (w in COMMON, -len(w), w)):
+        if len(touched) > m - least:
+            break
+        chosen.append(w)
+        touched |= {g for g in grams if w in g.split(" ")}
+    return chosen
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """id_col, license, dice (best over segments and notices of that license), n_segments (how many reach the threshold)."""
     spark = docs.sparkSession
@@ -67,7 +90,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         F.split(text, "\n"),
         F.split(text, f"\n{_SPACE}*\n"),
     )
-    segments = docs.where(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.explode(F.array_distinct(parts)).alias("segment"))
+    words_of = sorted({w for _, text_ in notices if (g := bigrams(text_)) for w in tell_tale(g, threshold)})
+    hints = [w for w in words_of if not any(x in w for x in words_of if x != w)]  # one that contains another is found with it
+    any_of = lambda c: reduce(or_, [c.contains(w) for w in hints])
+    may = docs.where(any_of(F.lower(F.col(f"`{text_col}`").cast("string"))))
+    segments = may.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.array_distinct(parts)).alias("segment")).where(any_of(F.col("segment")))
     # A segment that is too long for any notice goes before its bigrams are made.
     words = segments.select("id", F.split(F.trim(F.regexp_replace("segment", "[^a-z0-9]+", " ")), " ").alias("words"))
     pairs = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
