@@ -133,10 +133,14 @@ def _close(a: Column, b: Column, tolerance: float) -> Column:
     return no((a == b) | (F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) <= tolerance))
 
 
+#: The texts that duplicates share; a pair's rows carry each one's match key as k_ and its name.
+MATCH_TEXTS = ["street", "neighborhood", "municipality", "property_type"]
+
+
 def duplicate_score(left: str, right: str) -> Column:
-    """Likeness of two listings, given by the aliases of their rows, from 0 to 1."""
+    """Likeness of two listings, given by the aliases of their rows, from 0 to 1. The rows carry their match keys, which are made once a row and not once a pair."""
     a, b = (lambda n: c(f"{left}.{n}")), (lambda n: c(f"{right}.{n}"))
-    same = lambda n: (text.match_key(a(n)) != "") & (text.match_key(a(n)) == text.match_key(b(n)))
+    same = lambda n: (a(f"k_{n}") != "") & (a(f"k_{n}") == b(f"k_{n}"))
     near = no(geo.haversine(a("latitude"), a("longitude"), b("latitude"), b("longitude")) <= 75)
     #: Weights of texts; weights and tolerances of numbers; the weight of the place.
     tests = [(same("municipality"), 0.12), (same("neighborhood"), 0.12), (same("street"), 0.10), (same("property_type"), 0.10)]
