@@ -128,12 +128,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     bounded_batches(docs.sparkSession)
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
     all_ = _suffixes(src, min_words, gram)
-    beside = all_.groupBy("gram").agg(F.count(F.lit(1)).alias("total")).where("total > 1")
+    # Written, so that both sides of the join are dealt by it alone and the rows of a very common gram can be split.
+    beside = written_table(all_.groupBy("gram").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("gram"))
     suffixes = written_table(all_.join(beside, "gram", "left_semi"))
     # One row for each different reach, which keeps its first place; a great many copies add up before the shuffle.
     reaches = suffixes.groupBy("gram", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at")).alias("first"), F.min("windows").alias("windows"))
-    kinds = reaches.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    near = written_table(reaches.join(kinds, "gram"))
+    reaches = written_table(reaches)
+    kinds = written_table(reaches.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")))
+    near = reaches.join(kinds, "gram")
     full = F.expr("shiftleft(1L, windows) - 1")
     alike = near.where("kinds = 1").select("gram", "reach", "first", full.alias("repeated"), full.alias("own"), F.col("first.id").alias("first_id"))
     # Where neighbours differ: extend by the windows of one text for each reach.

@@ -104,7 +104,7 @@ class Trie:
 
 
 class Cache(dict):
-    """Results by string for one task, emptied when it holds more than limit: it saves time and decides nothing."""
+    """Results by string for one task. Beyond limit only those in use at the time are kept: it saves work and decides nothing."""
 
     def __init__(self, compute: Callable[[list], Iterable], limit: int = 300_000):
         self.compute, self.limit = compute, limit
@@ -112,6 +112,7 @@ class Cache(dict):
     def fill(self, strings: set) -> None:
         missing = [w for w in strings if w not in self]
         if len(self) + len(missing) > self.limit:
+            used = {w: self[w] for w in strings if w in self}
             self.clear()
-            missing = list(strings)
+            self.update(used)
         self.update(zip(missing, self.compute(missing), strict=True))

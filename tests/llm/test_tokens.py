@@ -14,7 +14,7 @@ from lindero.llm.tokencount import Counter, load_pieces, token_counts, zipf_scor
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 TEXTS = AWKWARD + [
     (20, "<|endoftext|>mid<|endoftext|> <|ENDOFTEXT|> <|startoftext|>it's  we'll\n\n  ΣΑΣ İstanbul"), (21, "tab\there  nbsp x　y"),
-    (22, "é Å Å ﬁ ǅ" * 40), (23, prose(1, 6000)), (24, prose(2, 900)),
+    (22, "é Å Å ﬁ ǅ" * 40), (25, "a\x01b \x01 \x01\x01 c"), (23, prose(1, 6000)), (24, prose(2, 900)),
 ]
 
 
