@@ -29,7 +29,7 @@ SHARD_ROWS = 16_000
 #: Words whose ids a task remembers.
 KNOWN_WORDS = 600_000
 #: A letter that keeps words apart in one call of the tokenizer, and how many words go into a call.
-_MARK, _TOGETHER = "\x01", 64
+_MARK, _TOGETHER = "\x01", 256
 
 
 def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", close_id: int = 0, with_ids: bool = False) -> DataFrame:

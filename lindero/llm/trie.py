@@ -110,9 +110,9 @@ class Cache(dict):
         self.compute, self.limit = compute, limit
 
     def fill(self, strings: set) -> None:
-        missing = [w for w in strings if w not in self]
+        missing = list(strings.difference(self))
         if len(self) + len(missing) > self.limit:
-            used = {w: self[w] for w in strings if w in self}
+            used = {w: self[w] for w in strings.intersection(self)}
             self.clear()
             self.update(used)
         self.update(zip(missing, self.compute(missing), strict=True))
