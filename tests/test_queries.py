@@ -5,7 +5,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lindero.plans.queries import ORACLES, QUERIES
+from lindero.plans.audit_queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
