@@ -340,7 +340,7 @@ def _norm_sql(x: str) -> str:
 
 @query()  # a comparison of all pairs by SQL is too slow on whole tables; a test has it on a small one
 def cross_source_duplicates(spark, sf_dir):
-    return rounded(spatial.cross_source_pairs(sample.listings(spark, sf_dir), 0.7), 6)
+    return rounded(spatial.cross_source_pairs(sample.listings(spark, sf_dir)), 6)
 
 
 # Picks, orders and samples

@@ -4,7 +4,10 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from lindero.functions import listing, text
+from lindero.plans import sample
 from lindero.plans.audit_queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,3 +40,14 @@ def test_query(spark, db, name):
         want = db.execute(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want) and len(want)
+
+
+def test_cross_source_duplicates_has_the_pairs_from_the_default_threshold(spark):
+    """Pairs of the registered query against a comparison of all pairs; some lie between 0.62 and 0.7."""
+    df = sample.listings(spark, FOLDER)
+    df = df.withColumns({f"k_{f}": text.match_key(F.col(f)) for f in listing.MATCH_TEXTS})
+    score = listing.duplicate_score("a", "b").alias("score")
+    every = df.alias("a").join(df.alias("b"), F.expr("a.source < b.source")).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), score).where("score >= 0.62")
+    want = {(r.left_id, r.right_id): round(r.score, 6) for r in every.collect()}
+    assert {(r.left_id, r.right_id): r.score for r in QUERIES["cross_source_duplicates"](spark, FOLDER).collect()} == want
+    assert any(s < 0.7 for s in want.values())
