@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,26 +30,68 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, rows)
 
 
-def use_shared_dir(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a folder of our own serves only where that is unset, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local session, as in tests, may do without: it gets a folder of its own."""
+    held = spark.sparkContext.getCheckpointDir()
+    if held is None:
         place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(place or f"{tempfile.gettempdir()}/lindero-{uuid.uuid4().hex}")
+        held = spark.sparkContext.getCheckpointDir()
+    return held
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that a lost executor costs no recomputation of what went before."""
-    use_shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Folders of tables that were written and not yet removed, in the order of writing.
+_WRITTEN: list[str] = []
 
 
-def written_table(df: DataFrame) -> DataFrame:
-    """As cut_lineage, as a Parquet table beside the checkpoints: for wide or long results, which compress well there."""
+def written_table(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, so that a lost executor costs no recomputation of what went before; by: a column to lay it out by."""
     spark = df.sparkSession
-    use_shared_dir(spark)
-    place = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+    place = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(place)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(place)
+    out = spark.read.schema(df.schema).parquet(place)
+    out.lindero_place = place
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, [t.lindero_place])
+
+
+def tables_so_far() -> int:
+    """A mark for drop_since()."""
+    return len(_WRITTEN)
+
+
+def drop_since(spark: SparkSession, mark: int, *but: DataFrame) -> None:
+    """Remove the tables written since a mark, but for some. Results that are not yet computed must not depend on them."""
+    kept = {t.lindero_place for t in but}
+    _remove(spark, [p for p in _WRITTEN[mark:] if p not in kept])
+
+
+def _remove(spark: SparkSession, places: list[str]) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for place in places:
+        path = jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(conf).delete(path, True)
+        if place in _WRITTEN:
+            _WRITTEN.remove(place)
+
+
+def plain_names(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ..., which clash with no name that an operator uses inside."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def text_key(text: F.Column) -> F.Column:
+    """A hash of a text, which with its id tells rows apart; null is a text of its own."""
+    return F.xxhash64(text.isNull(), text)
 
 
 def held_out() -> F.Column:

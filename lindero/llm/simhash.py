@@ -9,10 +9,15 @@ Both steps meet in the middle: two points of the grid within distance 2 share a
 distance 1 of each, and so do two fingerprints in the space of bits. No pair is ever emitted,
 so the work is linear in the distinct fingerprints, whatever the size of a group of copies.
 
+keep_one() takes another rule, a similarity of 0.8 or more of the sets of five-word shingles. Fingerprints
+of such texts differ in up to some 20 bits, a distance within which the popcounts of unlike texts lie too,
+so lindero.llm.similar finds them by what their sets share (the README has the figures).
+
 Nulls and edge cases: null and blank texts have fingerprint zero, which links like any other; a
 text of fewer words than a shingle is one shingle; equal texts share a fingerprint and hence a
 component; rows with a null id get the component of the ids they link with, or null; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; other columns are not read. keep_one() tells rows apart by id and text:
+rows that repeat both are one document, and a null id counts as larger than all others.
 """
 
 from __future__ import annotations
@@ -22,7 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lindero.llm.common import cut_lineage, map_texts
+from lindero.llm import similar
+from lindero.llm.common import drop_since, map_texts, plain_names, tables_so_far, text_key, written_table
+from lindero.llm.graph import components
 
 #: Two bits a segment: 32 segments, each with a popcount of 0, 1 or 2.
 SEGMENTS = 32
@@ -101,30 +108,26 @@ def links(found: DataFrame) -> DataFrame:
     return star.where("fp <> hub").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """fp and label, the smallest fingerprint that can be reached; by hooking and pointer jumping."""
-    edges = cut_lineage(edges)
-    both = edges.union(edges.select("hub", "fp")).toDF("src", "dst")
-    labels = cut_lineage(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("fp"), F.least("src", "low").alias("label")))
-    while True:
-        of = labels.select(F.col("fp").alias("dst"), F.col("label").alias("theirs"))
-        heard = both.join(of, "dst").groupBy("src").agg(F.min("theirs").alias("theirs")).withColumnRenamed("src", "fp")
-        hooked = labels.join(heard, "fp").select("fp", F.col("label").alias("was"), F.least("label", "theirs").alias("mid"))
-        jump = labels.select(F.col("fp").alias("mid"), F.col("label").alias("next"))
-        after = cut_lineage(hooked.join(jump, "mid").select("fp", "was", F.least("mid", "next").alias("label")))
-        labels = after.select("fp", "label")
-        if after.where("was <> label").isEmpty():
-            return labels
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """id_col, fingerprint (16 hex digits), component_id (the smallest id that can be reached over links of 2 bits or fewer)."""
-    rows = cut_lineage(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "id"))
-    first = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    mark = tables_so_far()
+    rows = written_table(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "id"))
+    first = written_table(rows.groupBy("fp").agg(F.min("id").alias("first")))
     labels = components(links(candidates(first.select("fp"))))
     named = labels.join(first, "fp")
     least = named.groupBy("label").agg(F.min("first").alias("least"))
     merged = named.join(least, "label").select("fp", "least")
     # Both sides of the last join come from files, so that a fingerprint of very many copies can be split.
-    home = cut_lineage(first.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
+    home = written_table(first.join(merged, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
+    drop_since(docs.sparkSession, mark, rows, home)
     return rows.join(home, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """All columns of docs, of each group of texts that similarity links only the row that comes first by id and text."""
+    plain = plain_names(docs)
+    text, id_ = (F.col(f"c{docs.columns.index(c)}") for c in (text_col, id_col))
+    rows = plain.withColumn("row", F.struct(id_.isNull().alias("missing"), id_.alias("id"), text_key(text).alias("key")))
+    groups = similar.near_duplicates(rows.select("row", text.alias("text")), "row", "text", shingle, similarity)
+    first = groups.where("row = component_id").select("row").distinct()
+    return rows.join(first, "row", "left_semi").dropDuplicates(["row"]).drop("row").toDF(*docs.columns)

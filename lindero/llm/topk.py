@@ -1,20 +1,24 @@
 """Exact top-k search by inner product, in three phases with a uniform threshold.
 
-A vector's components are dealt into groups, each of which scores every candidate for every query by
-its part of the product. Phase 1 gathers each group's best k candidates for a query; the k-th best
-of their exact scores is a safe cutoff, for at least k candidates reach it. Phase 2 sends the cutoff
-to where the candidates are; one that reaches it overall must reach an even share of it in some
-group, so each group lists the candidates that do, and bounds on what the other groups can add leave
-few of them. Phase 3 resolves those exactly.
-
-Queries come in blocks of bounded size against blocks of candidates; neither side is broadcast
-whole, and each block pair returns short lists only.
+A vector's components are dealt into groups, each of which scores a candidate by its part of the
+product. The candidates are laid out once, by levels of which each has 64 times the rows of those
+before, and stay where they are; queries go to them in tiles of bounded size.
+
+Phase 1 gathers local score lists over the first level, a small share of all: each group's best k
+candidates for a query, by their part. The k-th best of the exact scores so found, with its id, is a
+safe cutoff, for at least k candidates reach it. Phase 2 sends the cutoffs out with the queries. A
+candidate that reaches one overall must reach an even share of it in some group, so the tasks of the
+next level collect those entries, less those that bounds on the other groups exclude. Phase 3 resolves
+them: their parts are summed, and what doesn't reach the cutoff, ids included, is dropped. The level's
+best lists give the cutoffs of the next. So each product is computed once, and since about 64 k entries
+reach a cutoff however many candidates a level has, what is shuffled grows with the number of queries.
 
 Nulls and edge cases: vectors that are null, empty or hold null or non-finite components take no
 part, nor do rows with a null id; vectors of different lengths are not compared; of equal scores the
-smaller id comes first; rows that share an id are candidates each for itself, but not for a query
-with that id; a query that has fewer candidates than k gets all; other columns are not read; an
-empty table gives an empty result.
+smaller id comes first; rows that share an id are candidates each for itself, also for the queries
+with that id, which leave out one row only, their own; query rows with one id and different vectors are
+queries each for itself, told apart by query_key, and those with the same vector are one; a query that
+has fewer candidates than k gets all; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,21 +29,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lindero.llm.common import cut_lineage
+from lindero.llm.common import bounded_batches, drop_since, tables_so_far, written_table
 
-#: Queries and candidates that a task holds at once.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+#: Rows of the first level, about, and how many times the rows of those before a level has.
+FIRST_ROWS, STEP = 1024, 64
+#: Bytes of the query vectors that are sent to all tasks at a time; another tile follows when they are done.
+TILE_BYTES = 16_000_000
+#: Candidates that a task holds at once, and queries whose parts are in memory at a time.
+BATCH, _QUERIES = 4096, 64
 GROUPS = 4
-#: Queries whose partial scores are in memory at a time.
-_QUERIES = 64
 
 
-def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
-    """id and v, the components' floor(scale * x) as longs, of the vectors that take part."""
+def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 1024, asked: F.Column | None = None) -> DataFrame:
+    """id and v, the components' floor(scale * x) as longs, and asked, of the vectors that take part."""
     v = F.col(f"`{vector_col}`")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vectors.where(F.col(f"`{id_col}`").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad).select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), F.coalesce(asked, F.lit(False)).alias("asked") if asked is not None else F.lit(True).alias("asked")
     )
 
 
@@ -48,14 +54,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in whole numbers; by floats where those are exact."""
-    if not len(a) or not len(b):
-        return np.zeros((len(a), len(b)), np.int64)
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+def products(queries: np.ndarray, candidates: np.ndarray, shares: list[slice]):
+    """A function from a range of queries to the parts of their products, groups by queries by candidates; by floats where those are exact."""
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0)) * queries.shape[1]
     if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return np.stack([(a[i][None, :] * b).sum(1) for i in range(len(a))])
+        q, c = queries.astype(np.float64), [np.ascontiguousarray(candidates[:, s].T, np.float64) for s in shares]
+        return lambda a, b: np.stack([q[a:b, s] @ x for s, x in zip(shares, c, strict=True)])
+    return lambda a, b: np.stack([np.stack([(x[None, s] * candidates[:, s]).sum(1) for x in queries[a:b]]) for s in shares])
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -68,36 +73,12 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def _by_block(vectors: DataFrame, queries: DataFrame, work) -> DataFrame:
-    """work(queries, candidates) for each block of queries and block of candidates: query, id, score."""
-    blocks, parts = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // CANDIDATE_BLOCK))
-    # Both tables are files by now, so that a row's number and hence its block stay what they are if a task runs again.
-    number = F.monotonically_increasing_id()
-    q = queries.withColumn("block", F.pmod(number, F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    c = vectors.withColumn("part", F.pmod(number, F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(own: pa.Table, other: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        theirs = _sized(other)
-        for n, (qid, qv, part) in _sized(own).items():
-            if n in theirs:
-                for at in range(0, len(qid), _QUERIES):
-                    here = slice(at, at + _QUERIES)
-                    for me, ids, scores in work(qid[here], qv[here], part.slice(at, _QUERIES), *theirs[n][:2]):
-                        out[0] += [me] * len(ids)
-                        out[1] += ids.tolist()
-                        out[2] += scores.tolist()
-        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("query", "id", "score"), out, strict=True)})
-
-    return q.groupBy("block", "part").cogroup(c.groupBy("block", "part")).applyInArrow(run, "query long, id long, score long")
-
-
-def _sized(t: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, pa.Table]]:
-    """ids and components by length of the vectors."""
+def _sized(table: pa.Table | pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """ids, components and rows by length of the vectors."""
     out = {}
-    size = np.array(pc.list_value_length(t.column("v")).to_pylist(), np.int64)
+    size = np.array(pc.list_value_length(table.column("v")).to_pylist(), np.int64)
     for n in np.unique(size).tolist():
-        part = t.filter(pa.array(size == n)).combine_chunks()
+        part = pa.table(table.filter(pa.array(size == n))).combine_chunks()
         out[n] = part.column("id").to_numpy(), _matrix(part.column("v").combine_chunks()), part
     return out
 
@@ -107,53 +88,125 @@ def _shares(n: int, groups: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def top_k(vectors: DataFrame, queries: F.Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, groups: int = GROUPS) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score for the rows that the condition queries picks."""
-    rows = cut_lineage(quantise(vectors, id_col, vector_col, scale))
-    asked = cut_lineage(quantise(vectors.where(queries), id_col, vector_col, scale).dropDuplicates(["id"]))
-
-    def local_lists(qid, qv, _, cid, cv):
-        """Phase 1: each group's best candidates of this block, with their exact scores."""
-        parts = [products(qv[:, s], cv[:, s]) for s in _shares(qv.shape[1], groups)]
-        for i, me in enumerate(qid.tolist()):
-            may = np.flatnonzero(cid != me)
-            at = np.unique(np.concatenate([may[best(p[i, may], cid[may], k)] for p in parts]))
-            exact = (qv[i][None, :] * cv[at]).sum(1)
-            top = best(exact, cid[at], k)
-            yield me, cid[at[top]], exact[top]
-
-    lists = _by_block(rows, asked, local_lists)
-    ranked = _top(lists, k).groupBy("query").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("least"))
-    cut = cut_lineage(ranked.select(F.col("query").alias("id"), F.when(F.col("found") >= k, F.col("least")).alias("cutoff")))
-    sent = cut_lineage(asked.join(cut, "id", "left"))  # the cutoff goes where the query goes
-
-    def sufficient(qid, qv, part, cid, cv):
-        """Phases 2 and 3: what reaches an even share of the cutoff in some group, less what its bound excludes, resolved."""
-        shares = _shares(qv.shape[1], groups)
-        parts = np.stack([products(qv[:, s], cv[:, s]) for s in shares])
-        for i, (me, cutoff) in enumerate(zip(qid.tolist(), part.column("cutoff").to_pylist(), strict=True)):
-            if cutoff is None:
-                at = np.flatnonzero(cid != me)
-            else:
-                even = -(-cutoff // len(shares))  # some group has at least the mean, rounded up, as scores are whole
-                seen = parts[:, i] >= even
-                # A group that does not list a candidate adds less than the even share.
-                bound = np.where(seen, parts[:, i], even - 1).sum(0)
-                at = np.flatnonzero(seen.any(0) & (bound >= cutoff) & (cid != me))
-            exact = (qv[i][None, :] * cv[at]).sum(1)
-            top = best(exact, cid[at], k)
-            yield me, cid[at[top]], exact[top]
-
-    final = _top(_by_block(rows, sent, sufficient), k)
-    return final.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+def local_lists(parts: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Phase 1: places of each group's best k candidates; parts: groups by candidates."""
+    return np.unique(np.concatenate([best(p, ids, k) for p in parts]))
+
+
+def sufficient(parts: np.ndarray, ids: np.ndarray, cutoff: int, last_id: int) -> np.ndarray:
+    """Phases 2 and 3: places of the candidates that reach the cutoff, by the even share, the bounds and then the sums."""
+    even = -(-cutoff // len(parts))  # some group has at least the mean, rounded up, as scores are whole
+    seen = parts >= even
+    at = np.flatnonzero(seen.any(0))
+    # A group that does not list a candidate adds less than the even share.
+    at = at[np.where(seen[:, at], parts[:, at], even - 1).sum(0) >= cutoff]
+    total = parts[:, at].sum(0)
+    return at[(total > cutoff) | (total == cutoff) & (ids[at] <= last_id)]
+
+
+def _lists(candidates: DataFrame, tile: dict, k: int, groups: int, first: bool = False) -> DataFrame:
+    """query (its number in the tile), id, score: of each task phase 1's lists, or its best k candidates of those that reach the cutoffs."""
+    sent = candidates.sparkSession.sparkContext.broadcast(tile)  # TILE_BYTES of vectors, about, and a cutoff each
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for n, (ids, vectors, _) in _sized(batch).items():
+                if n not in sent.value:
+                    continue
+                number, queries, cutoffs = sent.value[n]
+                parts_of = products(queries, vectors, _shares(n, groups))
+                for a in range(0, len(queries), _QUERIES):
+                    parts = parts_of(a, a + _QUERIES)
+                    for i, cutoff in enumerate(cutoffs[a : a + _QUERIES]):
+                        mine = parts[:, i]
+                        at = local_lists(mine, ids, k) if first else sufficient(mine, ids, *cutoff) if cutoff else np.arange(len(ids))
+                        if len(at):
+                            rows = held.setdefault(int(number[a + i]), [[], []])
+                            rows[0].append(ids[at])
+                            rows[1].append(mine[:, at].sum(0).astype(np.int64))
+                            if sum(map(len, rows[0])) > 8 * k:
+                                _cut(rows, k)
+        for q, rows in held.items():
+            _cut(rows, k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0][0]), q, np.int64)), pa.array(rows[0][0]), pa.array(rows[1][0])], names=["query", "id", "score"])
+
+    return candidates.select("id", "v").mapInArrow(run, "query long, id long, score long")
+
+
+def _cut(rows: list[list], k: int) -> None:
+    ids, scores = np.concatenate(rows[0]), np.concatenate(rows[1])
+    at = best(scores, ids, k)
+    rows[0], rows[1] = [ids[at]], [scores[at]]
 
 
 def _top(lists: DataFrame, k: int) -> DataFrame:
-    """The best k rows of each query; a part sends k at most, so a window gets a bounded number for each part."""
+    """The best k rows of each query; a task sends k at most, so a window gets a bounded number for each."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return lists.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _tile(queries: DataFrame) -> tuple[dict, pa.Table]:
+    """A tile's vectors by length, as (numbers, vectors, cutoffs), and its table of query, query_id, query_key and own, the product with itself."""
+    out, known, at = {}, [], 0
+    for n, (ids, vectors, part) in _sized(queries.toArrow()).items():
+        number = np.arange(at, at + len(ids))
+        out[n] = (number, vectors, [None] * len(ids))
+        known.append(pa.table({"query": number, "query_id": ids, "query_key": part.column("key"), "own": (vectors * vectors).sum(1)}))
+        at += len(ids)
+    return out, pa.concat_tables(known) if known else None
+
+
+def _with_cutoffs(tile: dict, lists: DataFrame, k: int) -> dict:
+    """The tile with the score and the id of the k-th best candidate so far of each query that has k."""
+    found = lists.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("score", (-F.col("id")).alias("id"))).alias("least")).where(F.col("n") >= k)
+    cutoffs = {r["query"]: (r["least"]["score"], -r["least"]["id"]) for r in found.collect()}  # two numbers for each query of the tile
+    return {n: (number, vectors, [cutoffs.get(q) for q in number.tolist()]) for n, (number, vectors, _) in tile.items()}
+
+
+def _without_own(lists: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """Ranked lists of k + 1, less one row that has the query's id and its product with itself, which is the query's own or like it in all."""
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    own = (F.col("id") == F.col("query_id")) & (F.col("score") == F.col("own"))
+    ranked = lists.join(known, "query").withColumn("at", F.row_number().over(w)).withColumn("gone", F.coalesce(F.min(F.when(own, F.col("at"))).over(Window.partitionBy("query")), F.lit(k + 2)))
+    left = ranked.where("at <> gone").withColumn("rank", F.expr("at - if(at > gone, 1, 0)")).where(F.col("rank") <= k)
+    return left.select("query_id", "rank", F.col("id").alias("vec_id"), "score", "query_key")
+
+
+def top_k(vectors: DataFrame, queries: F.Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, groups: int = GROUPS) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score, query_key for the rows that the condition queries picks."""
+    spark, mark = vectors.sparkSession, tables_so_far()
+    bounded_batches(spark, BATCH)
+    total, levels = vectors.count(), 0
+    while FIRST_ROWS * STEP**levels < total:
+        levels += 1
+    place = F.pmod(F.xxhash64("id", "v"), F.lit(STEP**levels))
+    level = sum((F.when(place >= STEP**i, 1).otherwise(0) for i in range(levels)), F.lit(0))
+    rows = written_table(quantise(vectors, id_col, vector_col, scale, queries).withColumn("level", level), by="level")
+    numbers = rows.where("asked").agg(F.sum(F.size("v"))).first()[0] or 0
+    tiles = max(1, -(-8 * numbers // TILE_BYTES))
+    asked = rows.where("asked").select("id", "v", F.xxhash64("v").alias("key")).distinct().withColumn("tile", F.pmod(F.xxhash64("id", "key"), F.lit(tiles)).cast("int"))
+    asked = written_table(asked, by="tile")
+    results = []
+    for t in range(tiles):
+        tile, known = _tile(asked.where(F.col("tile") == t).select("id", "v", "key"))
+        if known is None:
+            continue
+        # One more than k, since a query's own row is a candidate until the end.
+        tile = _with_cutoffs(tile, _top(_lists(rows.where("level = 0"), tile, k + 1, groups, first=True), k + 1), k + 1)
+        lists = None
+        for i in range(levels + 1):
+            found = _lists(rows.where(F.col("level") == i), tile, k + 1, groups)
+            lists = written_table(_top(found if lists is None else found.unionByName(lists), k + 1).drop("rank"))
+            if i < levels:
+                tile = _with_cutoffs(tile, lists, k + 1)
+        results.append(written_table(_without_own(lists, spark.createDataFrame(known), k)))
+        drop_since(spark, mark, rows, asked, *results)
+    drop_since(spark, mark, *results)
+    schema = "query_id long, rank int, vec_id long, score long, query_key long"
+    return spark.read.schema(schema).parquet(*[r.lindero_place for r in results]) if results else spark.createDataFrame([], schema)
+
+
 def top_k_sql(k: int = 10) -> str:
     return f"""
     WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings

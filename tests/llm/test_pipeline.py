@@ -3,16 +3,34 @@ import zlib
 
 import public_tokenizers
 import pytest
-from helpers import AWKWARD, prose
+from helpers import AWKWARD, documents, prose
 from test_models import text
-from test_simhash import slow_components
-from test_suffixes import slow
+from test_similar import slow_components
+from test_suffixes import as_documents, slow
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lindero.llm.suffixes import cut_text
 
 
+def kept_rows(rows):
+    """Of each component of similar texts the row that comes first."""
+    rows = as_documents(rows)
+    return sorted((rows[n] for n, first in slow_components([(n, t) for n, (_, t) in enumerate(rows)]) if n == first), key=repr)
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "B"), (5, "A"), (5, "B"), (None, "C"), (None, "B")], [(1, "B"), (None, "B")], [(None, "B"), (None, "B"), (None, "A")], [(2, "A"), (2, "A"), (2, "B"), (7, None), (8, "")],
+])
+def test_near_duplicates_by_row(spark, rows):
+    texts = {x: prose(ord(x), 60) for x in "ABC"} | {"": ""}
+    rows = [(i, texts[x] if x is not None else None) for i, x in rows]
+    docs = documents(spark, rows).withColumnsRenamed({"id": "row", "score": "__id", "source": "missing"})
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.schema == docs.schema
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == kept_rows(rows)
+
+
 @pytest.fixture()
 def folder(spark, tmp_path):
     passage = prose(999, 80)
@@ -20,9 +38,9 @@ def folder(spark, tmp_path):
     rows += [(i, text("de", 80, i) + " " + prose(i, 60), "de") for i in range(140, 220)]
     rows += [(300 + i, rows[5][1], "en") for i in range(6)] + [(310 + i, f"{prose(i + 700, 50)}\n{passage}\n{prose(i + 800, 50)}", "en") for i in range(5)]
     rows += [(400 + i, " ".join(["spam"] * (40 + i)), "en") for i in range(60)]
-    rows += [(i, t, "en") for i, t in AWKWARD]
+    rows += [(i, t, "en") for i, t in AWKWARD] + [(None, text("en", 90, 7000) + " " + prose(7000, 60), "en"), (None, rows[5][1], "en")]
     data = [(i, t, lang, "s", len(t or ""), 0.5, "x") for i, t, lang in rows]
-    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string")
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, __id double, __spans string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels = [(i, 1) for i in range(20, 220)] + [(400 + i, 0) for i in range(60)]
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
@@ -44,16 +62,18 @@ def test_stage_by_stage(spark, folder):
         if name == "quality_filter":
             assert set(range(20, 220)) <= after and not set(range(400, 460)) & after
         if name == "near_duplicates":
-            have = [(r.doc_id, r.text) for r in docs.collect()]
-            want = sorted(((d, t) for (d, t) in set(have) if (d in {g[2] for g in slow_components(have) if g[0] == d} or d is None)), key=repr)
             got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
-            assert [x for x in got if x[0]] == [x for x in want if x[0]] and not {300, 301} & after
+            assert got == kept_rows([(r.doc_id, r.text) for r in docs.collect()]) and not {300, 301} & after and None in after
         if name == "repeated_passages":
             assert after == before
-            spans = slow([(r.doc_id, r.text) for r in docs.collect() if r.doc_id], 50)
-            for r in docs.collect():
-                texts[r.doc_id] = cut_text(r.text.encode(), [(a, b) for d, a, b, keep in spans if d == r.doc_id and not keep]).decode()
-            assert {r.doc_id: r.text for r in out.collect()} == {i: texts[i] for i in after}
+            rows = as_documents([(r.doc_id, r.text) for r in docs.collect()])
+            cut = {}
+            for n, a, b, keep in slow([(n, t) for n, (_, t) in enumerate(rows)], 50):
+                if not keep:
+                    cut.setdefault(n, []).append((a, b))
+            for n, (i, t) in enumerate(rows):
+                texts[i] = cut_text(t.encode(), cut.get(n, [])).decode()
+            assert cut and {r.doc_id: r.text for r in out.collect()} == {i: texts[i] for i in after}
             assert all(r.n_chars == len(r.text) for r in out.collect())
         docs = out
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()

@@ -1,6 +1,8 @@
 import random
+import struct
 
 import pytest
+import xxhash
 from helpers import AWKWARD, documents, prose
 
 from lindero.llm.suffixes import cut_text, remove_repeats, repeats
@@ -43,6 +45,7 @@ def mixed(min_words, seed):
             parts.append(" ".join(p[a:b] if r.random() < 0.6 else p))
         rows.append((1000 - i, "  \n".join(parts)))
     rows += [(2000 + i, rows[3][1]) for i in range(5)]  # copies
+    rows += [rows[4], rows[11], rows[11]]  # repeated rows are one document
     base = rows[7][1].split()
     for i in range(8):  # near copies
         w = list(base)
@@ -51,7 +54,7 @@ def mixed(min_words, seed):
     return rows
 
 
-@pytest.mark.parametrize("min_words,gram,seed", [(10, 4, 1), (50, 8, 2), (12, 3, 3)])
+@pytest.mark.parametrize("min_words,gram,seed", [(10, 4, 1), (50, 8, 2), (12, 3, 3), (100, 8, 4), (130, 3, 5), (10, 10, 6)])
 def test_equals_brute_force(spark, min_words, gram, seed):
     rows = mixed(min_words, seed)
     got = sorted(tuple(r)[:4] for r in repeats(documents(spark, rows), min_words=min_words, gram=gram).collect())
@@ -74,6 +77,40 @@ def test_removal(spark):
     assert sorted((r.doc_id, r.start_word, r.end_word, r.keep, r.first_id) for r in spans) == [(50 + i, 30, 100, i == 0, 50) for i in range(4)]
 
 
+def as_documents(rows):
+    """Rows by number in the order of documents, for slow(): one for each id and text."""
+    key = lambda x: (x[0] is None, x[0] or 0, text_hash(x[1]))
+    return sorted(set(rows), key=key)
+
+
+def text_hash(text):
+    """XXH64 as the engine has it: of whether it is null, then of its bytes with that as the seed."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    first = xxhash.xxh64_intdigest(struct.pack("<I", text is None), 42)
+    return signed(first if text is None else xxhash.xxh64_intdigest(text.encode(), first))
+
+
+def test_rows_that_share_an_id(spark):
+    p, fresh = prose(1, 60), prose(2, 300)
+    rows = [(1, p + " " + prose(3, 20)), (2, prose(4, 20) + " " + p), (2, "short text here"), (2, fresh), (2, prose(4, 20) + " " + p), (None, p), (None, p + " end"), (3, p), (3, None), (None, None)]
+    docs = documents(spark, rows).withColumnsRenamed({"id": "__id", "score": "__spans", "source": "key"})
+    numbered = as_documents(rows)
+    cut = {}
+    for n, a, b, keep in slow([(n, t) for n, (_, t) in enumerate(numbered)], 50):
+        if not keep:
+            cut.setdefault(n, []).append((a, b))
+    want = {row: cut_text((row[1] or "").encode(), cut.get(n, [])).decode() if row[1] is not None else None for n, row in enumerate(numbered)}
+    out = remove_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(((i, want[i, t]) for i, t in rows), key=repr)
+    assert want[2, fresh] == fresh and want[3, p] == "" and want[None, p + " end"] == "end"
+
+
+def test_parameters(spark):
+    with pytest.raises(ValueError):
+        repeats(documents(spark, []), min_words=5, gram=6)
+
+
 def test_edges(spark):
     assert repeats(documents(spark, [])).count() == 0
     assert remove_repeats(documents(spark, [])).count() == 0
