@@ -11,8 +11,10 @@ order, with quantisers of 1, so that the file holds them without loss.
 
 Nulls and edge cases: a null payload counts as empty, and an empty one is a block of zero bytes; equal
 payloads give equal files; a null file gives null results; a file that is no progressive JPEG, or is
-broken, gives nulls and an error text and leaves the others alone; ids may be null or repeated; other
-columns are not read; an empty table gives an empty result.
+broken, gives nulls and an error text and leaves the others alone, as does one whose header asks for
+more blocks than its bytes can hold (at least a bit each) or, beyond MOST_BLOCKS, for more than one to
+32 bytes (which a stored text never needs), so that memory follows the bytes of the files; ids may be null or repeated; other columns are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ RESTART = 16
 #: Blocks of an MCU with halved chroma: four of luma in two rows, one of each chroma.
 _SHAPE = ((2, 2), (1, 1), (1, 1))
 _COMMENT = b"payload:"
+#: Blocks of 64 coefficients that a file may have whatever its size: pictures of 16 million pixels, about.
+MOST_BLOCKS = 1 << 18
+#: Blocks of the files that are decoded together; one file may have more.
+_TOGETHER = 1 << 16
 
 
 @cache
@@ -306,21 +312,49 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 # Decoding
 
+_BROKEN = (ValueError, IndexError, KeyError, OverflowError, struct.error)
 _END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 _RST = re.compile(rb"\xff[\xd0-\xd7]")
 
 
+def _need(ok: bool, what: str) -> None:
+    if not ok:
+        raise ValueError(what)
+
+
+def _huffman(body: bytes) -> dict[int, bytes]:
+    """The tables of a DHT segment by class and number, each as counts and symbols."""
+    out = {}
+    while body:
+        n = 17 + sum(body[1:17])
+        _need(len(body) >= max(n, 18) and body[0] & 0xEE == 0, "a broken code table")
+        left = 1
+        for count in body[1:17]:  # codes of each length that are not taken
+            left = 2 * left - count
+            _need(left >= 0, "a code table with too many codes")
+        out[body[0]], body = body[1:n], body[n:]
+    return out
+
+
+def _quantisers(body: bytes) -> dict[int, np.ndarray]:
+    out = {}
+    while body:
+        wide = 1 + (body[0] >> 4)
+        _need(wide < 3 and body[0] & 15 < 4 and len(body) >= 1 + 64 * wide, "a broken quantiser")
+        out[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else np.uint8).astype(np.int64)
+        body = body[1 + 64 * wide :]
+    return out
+
+
 class Picture:
     """A file's frame, tables and scans."""
 
     def __init__(self, data: bytes):
-        if data[:2] != b"\xff\xd8":
-            raise ValueError("no JPEG")
+        _need(data[:2] == b"\xff\xd8", "no JPEG")
         self.scans, self.comment, self.shape = [], b"", ()
         quant, huff, restart, at = {}, {}, 0, 2
         while True:
-            if at + 2 > len(data) or data[at] != 255:
-                raise ValueError("a marker is missing")
+            _need(at + 2 <= len(data) and data[at] == 255, "a marker is missing")
             marker = data[at + 1]
             if marker == 0xD9:
                 break
@@ -329,62 +363,74 @@ class Picture:
                 continue
             size = int.from_bytes(data[at + 2 : at + 4], "big")
             body = data[at + 4 : at + 2 + size]
+            _need(len(body) == size - 2, "a segment is cut")
             at += 2 + size
             if marker == 0xC2:
-                _, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
-                self.ids = [body[6 + 3 * i] for i in range(n)]
-                self.shape = tuple((body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(n))
-                self.quant_of = [body[8 + 3 * i] for i in range(n)]
-                if n == 1:
-                    self.shape = ((1, 1),)
-                if n not in (1, 3) or not self.width or not self.height:
-                    raise ValueError("unsupported frame")
+                _need(not self.shape, "two frames")
+                self._frame(body, len(data))
             elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise ValueError("not progressive")
             elif marker == 0xDB:
-                while body:
-                    wide = 1 + (body[0] >> 4)
-                    quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else np.uint8).astype(np.int64)
-                    body = body[1 + 64 * wide :]
+                quant |= _quantisers(body)
             elif marker == 0xC4:
-                while body:
-                    n = 17 + sum(body[1:17])
-                    huff[body[0]] = body[1:n]
-                    body = body[n:]
+                huff |= _huffman(body)
             elif marker == 0xDD:
+                _need(len(body) == 2, "a broken restart interval")
                 restart = int.from_bytes(body, "big")
             elif marker == 0xFE:
                 self.comment = body
             elif marker == 0xDA:
-                if not self.shape:
-                    raise ValueError("a scan before its frame")
-                n = body[0]
-                comps = tuple(self.ids.index(body[1 + 2 * i]) for i in range(n))
-                first, last, bits = body[1 + 2 * n : 4 + 2 * n]
-                tables = [body[2 + 2 * i] for i in range(n)]
-                ac = first > 0
-                used = tuple(huff.get((16 if ac else 0) + (x & 15 if ac else x >> 4), b"") for x in tables) if ac or not bits >> 4 else ()
                 end = _END.search(data, at)
-                if not end or last > 63 or first > last or (ac and n > 1) or b"" in used:
-                    raise ValueError("a broken scan")
-                parts = [x.replace(b"\xff\x00", b"\xff") for x in _RST.split(data[at : end.start()])]
-                self.scans.append((comps, first, last, bits >> 4, bits & 15, used, restart, parts))
+                _need(end is not None, "a scan without an end")
+                self._scan(body, huff, restart, data[at : end.start()])
                 at = end.start()
-        if not self.scans:
-            raise ValueError("no scan")
+        whole = {c for comps, first, _, high, *_ in self.scans if first == 0 and high == 0 for c in comps}
+        _need(bool(self.shape) and len(whole) == len(self.shape), "a component has no scan")
+        _need(all(q in quant for q in self.quant_of), "a quantiser is missing")
+        self.quant = tuple(quant[q].tobytes() for q in self.quant_of)
+
+    def _frame(self, body: bytes, size: int) -> None:
+        precision, self.height, self.width, n = struct.unpack(">BHHB", body[:6])
+        _need(precision == 8 and n in (1, 3) and self.width > 0 and self.height > 0 and len(body) == 6 + 3 * n, "unsupported frame")
+        self.ids = [body[6 + 3 * i] for i in range(n)]
+        shape = tuple((body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(n))
+        self.quant_of = [body[8 + 3 * i] for i in range(n)]
+        _need(len(set(self.ids)) == n and all(1 <= x <= 4 for s in shape for x in s), "unsupported sampling")
+        self.shape = ((1, 1),) if n == 1 else shape
         self.h, self.v = max(h for h, _ in self.shape), max(v for _, v in self.shape)
+        _need(not any(self.h % h or self.v % v for h, v in self.shape), "unsupported sampling")
         self.wide, self.high = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
-        if any(self.h % h or self.v % v for h, v in self.shape):
-            raise ValueError("unsupported sampling")
-        if any(q not in quant for q in self.quant_of):
-            raise ValueError("a quantiser is missing")
-        self.quant = tuple(quant[q].tobytes() for q in self.quant_of)
         self.blocks = self.wide * self.high * sum(h * v for h, v in self.shape)
+        # A scan that leaves out what lies outside the picture has fewer blocks than whole MCUs have.
+        seen = sum(_inside(self.shape, self.width, self.height, c)[0] * _inside(self.shape, self.width, self.height, c)[1] for c in range(n))
+        _need(seen <= 8 * size and self.blocks <= max(MOST_BLOCKS, size // 32), "more blocks than its bytes can hold")
+
+    def _scan(self, body: bytes, huff: dict[int, bytes], restart: int, coded: bytes) -> None:
+        _need(bool(self.shape), "a scan before its frame")
+        n = body[0] if body else 0
+        _need(0 < n <= len(self.ids) and len(body) == 4 + 2 * n, "a broken scan")
+        comps = tuple(self.ids.index(body[1 + 2 * i]) for i in range(n))
+        first, last, bits = body[1 + 2 * n : 4 + 2 * n]
+        high, low = bits >> 4, bits & 15
+        _need(list(comps) == sorted(set(comps)) and low <= 13 and high in (0, low + 1), "a broken scan")
+        _need(last == 0 if first == 0 else n == 1 and first <= last <= 63, "a broken scan")
+        tables = [body[2 + 2 * i] for i in range(n)]
+        used = tuple(huff.get(16 + (x & 15) if first else x >> 4, b"") for x in tables) if first or not high else ()
+        _need(b"" not in used, "a code table is missing")
+        parts = [x.replace(b"\xff\x00", b"\xff") for x in _RST.split(coded)]
+        self.scans.append((comps, first, last, high, low, used, restart, parts))
 
     def places(self, comps: tuple[int, ...]) -> np.ndarray:
         return _places(self.shape, self.wide, self.high, self.width, self.height, comps)
 
 
+def _inside(shape: tuple, width: int, height: int, c: int) -> tuple[int, int]:
+    """Rows and columns of a component's blocks that the picture reaches."""
+    h, v = shape[c]
+    most_h, most_v = max(a for a, _ in shape), max(b for _, b in shape)
+    return -(-(-(-height * v // most_v)) // 8), -(-(-(-width * h // most_h)) // 8)
+
+
 @lru_cache(4096)
 def _places(shape: tuple, wide: int, high: int, width: int, height: int, comps: tuple[int, ...]) -> np.ndarray:
     """Blocks in the order of a scan: MCUs by their blocks. A scan of one component leaves out blocks that lie outside the picture."""
@@ -394,8 +440,7 @@ def _places(shape: tuple, wide: int, high: int, width: int, height: int, comps:
     c = comps[0]
     h, v = shape[c]
     base = wide * high * sum(a * b for a, b in shape[:c])
-    most_h, most_v = max(a for a, _ in shape), max(b for _, b in shape)
-    cols, rows = -(-(-(-width * h // most_h)) // 8), -(-(-(-height * v // most_v)) // 8)
+    rows, cols = _inside(shape, width, height, c)
     return (base + np.arange(rows)[:, None] * wide * h + np.arange(cols)[None, :]).reshape(-1, 1)
 
 
@@ -602,31 +647,41 @@ def _tiled(coef: np.ndarray, p: Picture, before: int, h: int, v: int) -> np.ndar
 def decode(files: list[bytes | None]) -> list[dict]:
     """For each file: error, or picture, coef and rgb."""
     out: list[dict] = [{"error": None} for _ in files]
-    good = []
+    good: list[int] = []
     for i, data in enumerate(files):
-        if data is None:
-            continue
+        if data is not None:
+            try:
+                out[i]["picture"] = Picture(data)
+                good.append(i)
+            except _BROKEN as e:
+                out[i]["error"] = str(e) or "broken"
+    for a, b in slices([out[i]["picture"].blocks for i in good], _TOGETHER):
         try:
-            out[i]["picture"] = Picture(data)
-            good.append(i)
-        except (ValueError, IndexError, struct.error) as e:
-            out[i]["error"] = str(e) or "broken"
-    coef, broken = coefficients([out[i]["picture"] for i in good])
-    for i, c, b in zip(good, coef, broken, strict=True):
-        out[i]["coef"] = c
-        if b:
-            out[i]["error"] = "broken entropy-coded data"
-    whole = [i for i in good if not out[i]["error"]]
-    for i, rgb in zip(whole, tensors([out[i]["picture"] for i in whole], [out[i]["coef"] for i in whole]), strict=True):
-        out[i]["rgb"] = rgb
+            _decode_some([out[i] for i in good[a:b]])
+        except _BROKEN:  # one of them: each alone
+            for i in good[a:b]:
+                try:
+                    _decode_some([out[i]])
+                except _BROKEN as e:
+                    out[i]["error"] = str(e) or "broken"
     return out
 
 
+def _decode_some(rows: list[dict]) -> None:
+    coef, broken = coefficients([x["picture"] for x in rows])
+    for x, c, b in zip(rows, coef, broken, strict=True):
+        x["coef"], x["error"] = c, "broken entropy-coded data" if b else None
+    whole = [x for x in rows if not x["error"]]
+    for x, rgb in zip(whole, tensors([x["picture"] for x in whole], [x["coef"] for x in whole]), strict=True):
+        x["rgb"] = rgb
+
+
 def payload(picture: Picture, coef: np.ndarray) -> tuple[int, bytes]:
     """What encode() stored: its length and the padded bytes."""
     if not picture.comment.startswith(_COMMENT):
         raise ValueError("no payload")
     size, padded = struct.unpack(">QQ", picture.comment[len(_COMMENT) :])
+    _need(size <= padded <= coef.size and padded % 64 == 0 and padded > 0, "a broken payload length")
     return size, (coef[: padded // 64] + 128).astype(np.uint8).tobytes()
 
 

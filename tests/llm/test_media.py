@@ -49,6 +49,56 @@ def test_broken_files_leave_others_alone(spark):
     assert media.read_back(df.limit(0)).count() == 0
 
 
+def head_of(good):
+    """Where the entropy-coded bytes of the first scan begin."""
+    at = good.index(b"\xff\xda")
+    return at + 2 + int.from_bytes(good[at + 2 : at + 4], "big")
+
+
+def test_any_cut_or_flipped_header_leaves_others_alone():
+    good, head = media.encode([b"hello" * 100])[0], 0
+    head, r = head_of(good), np.random.default_rng(7)
+    want = media.decode([good])[0]["rgb"]
+    cases = [good[:n] for n in range(0, head + 40, 3)]
+    for at in range(2, head):
+        for x in (0, 255, int(r.integers(256))):
+            cases.append(good[:at] + bytes([x]) + good[at + 1 :])
+    for _ in range(300):  # anywhere
+        x = bytearray(good)
+        for at in r.integers(2, len(good), 3):
+            x[at] ^= 1 << int(r.integers(8))
+        cases.append(bytes(x))
+    got = media.decode([y for x in cases for y in (x, good)])
+    for x in got[1::2]:
+        assert x["error"] is None and (x["rgb"] == want).all()
+    for x in got[::2]:
+        assert x["error"] or x["rgb"].shape == (x["picture"].height, x["picture"].width, 3)
+    assert sum(bool(x["error"]) for x in got[::2]) > 300
+
+
+def swapped(good, marker, change):
+    at = good.index(marker) + 4
+    n = int.from_bytes(good[at - 2 : at], "big") - 2
+    body = change(good[at : at + n])
+    return good[: at - 2] + (len(body) + 2).to_bytes(2, "big") + body + good[at + n :]
+
+
+@pytest.mark.parametrize("marker,change,error", [
+    (b"\xff\xc4", lambda b: b[:-3], "code table"), (b"\xff\xc4", lambda b: b"\0" + b"\xff" * 16 + b[17:], "code table"), (b"\xff\xdb", lambda b: b[:20], "quantiser"),
+    (b"\xff\xc2", lambda b: b[:1] + b"\x40\0\x40\0" + b[5:], "more blocks"), (b"\xff\xc2", lambda b: b[:7] + b"\0" + b[8:], "sampling"), (b"\xff\xdd", lambda b: b"", "restart"),
+    (b"\xff\xda", lambda b: b[:-1] + b"\x0f", "scan"), (b"\xff\xfe", lambda b: b[:8] + b"\xff" * 16, None),
+])
+def test_what_is_wrong_is_named(marker, change, error):
+    good = media.encode([b"hello" * 100])[0]
+    got = media.decode([swapped(good, marker, change), good])
+    assert got[1]["error"] is None
+    if error:
+        assert error in got[0]["error"]
+    else:
+        with pytest.raises(ValueError, match="payload"):
+            media.payload(got[0]["picture"], got[0]["coef"])
+
+
 @pytest.mark.parametrize("width,height,gray", [(70, 45, False), (16, 16, False), (33, 100, True), (129, 65, False)])
 def test_files_by_another_encoder(spark, width, height, gray):
     """The JVM's own writer makes progressive files with all kinds of scans; its reader decodes them too."""
