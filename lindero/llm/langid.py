@@ -6,7 +6,8 @@ given the letters beside them, as counted over all labelled training texts. The
 languages, where each switch costs a penalty, labels spans of the text.
 
 Nulls and edge cases: a null text, an empty one and one without a letter is `und` with score 0 and no
-span; so is every text where nothing is learned; texts with a null language are predicted but never
+span; so is every text where nothing is learned; of more languages than MOST_LANGUAGES those with the most
+letters are learned, ties by name; texts with a null language are predicted but never
 learned from; a word whose script no language was seen in has all of them as candidates; ties go to
 the language that sorts first; equal texts get equal results; texts may be of any length; ids may be
 null or repeated; other columns are not read; an empty table gives an empty result.
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lindero.llm.common import bounded_batches, map_texts, slices, utf8
+from lindero.llm.common import bounded_batches, drop_tables, map_texts, slices, utf8, written_table
 
-#: Rows of the table of counts; with the number of languages it bounds the model's size.
-BUCKETS = 1 << 16
+#: Rows of the table of counts, and languages that are learned at most, those with the most letters; together they bound the model's size.
+BUCKETS, MOST_LANGUAGES = 1 << 16, 128
+#: Languages that a task counts at a time.
+_HELD = 32
 #: What a change of language costs, in nats.
 SWITCH = 12.0
 #: A language is a candidate for a script that has this share of its letters.
@@ -82,13 +85,20 @@ class Words:
         return np.searchsorted(self.text, np.arange(len(self.text_at)))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Counts over every text that has a language. The result is bounded: BUCKETS numbers for each language."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_languages: int = MOST_LANGUAGES) -> dict:
+    """Counts over every text that has one of the most_languages languages with the most letters. The result is bounded: BUCKETS numbers for each."""
     bounded_batches(docs.sparkSession)
     src = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
+
+        def counted():
+            for name, n in held.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
+            held.clear()
+
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             for a, b in slices([len(t) for t in texts]):
@@ -101,11 +111,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
                     n = held.setdefault(name, np.zeros(BUCKETS + 256, np.int64))
                     n[:BUCKETS] += np.bincount(words.bucket[own], minlength=BUCKETS)
                     n[BUCKETS:] += np.bincount(words.script[own], minlength=256)
-        for name, n in held.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
-
-    rows = src.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+                    if len(held) > _HELD:
+                        yield from counted()
+        yield from counted()
+
+    rows = src.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = written_table(rows)
+    # Scripts' counts stand for the letters of a language, each of which has one.
+    most = rows.where(F.col("bucket") >= BUCKETS).groupBy("lang").agg(F.sum("n").alias("letters")).orderBy(F.desc("letters"), "lang").limit(most_languages)
+    counted_rows, rows = rows, rows.join(F.broadcast(most), "lang", "left_semi").toPandas()  # most_languages names
+    drop_tables(counted_rows)
     langs = sorted(rows.lang.unique())
     counts = np.zeros((len(langs), BUCKETS + 256))
     counts[np.searchsorted(np.array(langs, object), rows.lang.to_numpy(object)), rows.bucket.to_numpy(np.int64)] = rows.n.to_numpy(float)

@@ -3,8 +3,9 @@
 Each document's ids, closed by one more id, are cut into pieces of at most the capacity. Pieces are
 dealt by hash into shards of bounded size; a task packs a shard's pieces, longest first, placing each
 where the sum over gaps of the squared number of open bins with that gap becomes smallest. A shard
-leaves a few part-filled sequences, which bounds what sharding costs. A shard's order is total, so a
-task that runs again packs alike.
+leaves a few part-filled sequences, which bounds what sharding costs. Pieces are dealt and ordered by
+id, place and content, so rows without an id spread too, and rows that tie are alike in all: a task
+that runs again packs alike.
 
 Nulls and edge cases: null and empty texts are one piece that holds the closing id alone; equal rows
 are packed each for itself; texts may be of any length; ids may be null; other columns are not read;
@@ -160,4 +161,4 @@ def pack(parts: DataFrame, rows: int, capacity: int = 2048, keys: tuple[str, ...
 def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: id_col, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.count()
-    return pack(pieces(docs, vocabulary_path, capacity, id_col, text_col, with_ids=with_ids), rows, capacity, (id_col, "piece"))
+    return pack(pieces(docs, vocabulary_path, capacity, id_col, text_col, with_ids=with_ids), rows, capacity, (id_col, "piece", "start", "ids_crc32"))

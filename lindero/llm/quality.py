@@ -6,7 +6,7 @@ trees of a batch at once.
 
 Nulls and edge cases: a null text counts as empty, and empty texts have statistics of zero and hence
 a score; rows without a label are scored but not learned from, and so are labels that are null; of
-several labels for an id the mean counts; where nothing is learned the score is 0.5; equal texts get
+several labels for an id the mean counts, and of several texts the one with the smallest statistics; where nothing is learned the score is 0.5; equal texts get
 equal scores; texts may be of any length; ids may be null or repeated; other columns are not read; an
 empty table gives an empty result.
 """
@@ -145,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     def make():
         return lambda batch: [list(statistics(batch))]
 
-    found = map_texts(texts, ["id", "y"], "text", "x array<double>", make).dropDuplicates(["id"]).toPandas().sort_values("id")
+    # Of several texts of an id the one with the smallest statistics counts, so that no more than rows come to the driver.
+    found = map_texts(texts, ["id", "y"], "text", "x array<double>", make).groupBy("id").agg(F.min(F.struct("y", "x")).alias("m")).select("id", "m.y", "m.x").toPandas().sort_values("id")
     if found.empty:
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
     return fit(np.stack(found.x.to_numpy()), found.y.to_numpy())

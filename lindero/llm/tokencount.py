@@ -5,8 +5,11 @@ sum of piece scores that spells the prefix, follows from the scores of its ances
 many words share is scored once. The number of pieces on the best path is kept beside it, and a
 word's count is read at its end node.
 
-Pieces with higher ranks are likelier by Zipf's law; a byte that no piece covers is a piece of its
-own with a score below all others. Of paths with equal scores the one with fewer pieces counts.
+The scores are those of the vocabulary file if it holds a unigram model. A BPE model holds only the
+order in which its pieces were made; from it scores are made by Zipf's law, and the counts are then
+those of a unigram model over the BPE model's pieces, not the BPE model's own. A byte that no piece
+covers is a piece of its own with a score below all others. Of paths with equal scores the one with
+fewer pieces counts.
 
 Nulls and edge cases: null, empty and blank texts have no words and no tokens; equal rows give equal
 rows; words may be of any length; ids may be null or repeated and are passed through; other columns
@@ -30,18 +33,26 @@ WORD_START = "▁".encode()
 def zipf_scores(pieces: list[bytes]) -> dict[bytes, float]:
     """Log probabilities of pieces that come in order of rank."""
     total = log(sum(1 / r for r in range(1, len(pieces) + 1)))
-    scores = {p: -log(r) - total for r, p in enumerate(pieces, 1)}
+    return with_bytes({p: -log(r) - total for r, p in enumerate(pieces, 1)})
+
+
+def with_bytes(scores: dict[bytes, float]) -> dict[bytes, float]:
+    """The scores, and single bytes that are no pieces, 10 below the least."""
     low = min(scores.values()) - 10
     return {bytes([b]): low for b in range(256)} | scores
 
 
-def load_pieces(path: str) -> list[bytes]:
-    """The ordinary pieces of a sentencepiece model, in its order."""
+def load_scores(path: str) -> dict[bytes, float]:
+    """Scores of the ordinary pieces of a sentencepiece model."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    return [model.id_to_piece(i).encode() for i in plain]
+    pieces, scores = [model.id_to_piece(i).encode() for i in plain], [model.get_score(i) for i in plain]
+    # A BPE model's scores count down in whole numbers.
+    if all(s == -i for i, s in enumerate(scores)):
+        return zipf_scores(pieces)
+    return with_bytes(dict(zip(pieces, scores, strict=True)))
 
 
 class Counter:
@@ -84,7 +95,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """id_col, n_words, n_tokens."""
 
     def make():
-        counter = Counter(zipf_scores(load_pieces(vocabulary_path)))
+        counter = Counter(load_scores(vocabulary_path))
         known = Cache(lambda words: counter.counts([WORD_START + w for w in words]))
 
         def run(texts):

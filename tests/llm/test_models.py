@@ -100,6 +100,62 @@ def test_trees_learn_and_flatten():
         assert abs(1 / (1 + np.exp(-total)) - want) < 1e-12
 
 
+def slow_tree(x, y, margin, depth, rate, bins, least, ridge):
+    """One tree by trying every edge of every feature on the rows themselves."""
+    p = 1 / (1 + np.exp(-margin))
+    g, h = y - p, p * (1 - p) + 1e-9
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    out = np.zeros(len(x))
+
+    def grow(rows, level):
+        if level == depth:
+            out[rows] = rate * g[rows].sum() / (h[rows].sum() + ridge)
+            return
+        best = (1e-6, None)
+        for f, cuts in enumerate(edges):
+            for c in cuts:
+                left, right = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                if h[left].sum() < least or h[right].sum() < least:
+                    continue
+                part = lambda r: g[r].sum() ** 2 / (h[r].sum() + ridge)
+                gain = part(left) + part(right) - part(rows)
+                if gain > best[0] + 1e-12:
+                    best = (gain, (left, right))
+        for r in best[1] or (rows, rows[:0]):
+            grow(r, level + 1)
+
+    grow(np.arange(len(x)), 0)
+    return out
+
+
+def test_histogram_splits_equal_brute_force():
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(300, 4)), 1)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0) | (r.random(300) < 0.1)).astype(float)
+    trees = quality.fit(x, y, rounds=3, depth=3, bins=8)
+    margin = np.full(300, trees.base)
+    for k in range(3):
+        part = quality.Trees(0.0, trees.feature[k : k + 1], trees.threshold[k : k + 1], trees.leaf[k : k + 1])
+        grown = slow_tree(x, y, margin, 3, 0.1, 8, 4.0, 1.0)
+        got = np.log(part.probability(x) / (1 - part.probability(x)))
+        assert np.abs(got - grown).max() < 1e-9
+        margin += grown
+
+
+def test_most_languages(spark):
+    rows = [(i, text(lang, 30 + 10 * k, i), lang) for i in range(12) for k, lang in enumerate(WORDS)] + [(100 + i, "x" * (i + 1), f"dirty{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs, most_languages=3)["langs"] == ["de", "en", "ru"]
+    assert len(langid.train(docs)["langs"]) == 43
+
+
+def test_quality_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 40, text("en", 20 + i, i)) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    a, b = quality.train(docs, labels), quality.train(docs.orderBy("text"), labels)
+    assert (a.leaf == b.leaf).all() and (a.threshold == b.threshold).all()
+
+
 def test_quality(spark, tmp_path):
     good = [(100 + i, text("en", 60, i) + ".\n" + text("de", 20, i)) for i in range(150)]
     bad = [(400 + i, " ".join(["spam"] * (30 + i)) if i % 2 else "\n".join(["a | b | c !!"] * (9 + i))) for i in range(150)]

@@ -8,8 +8,8 @@ from helpers import AWKWARD, documents, prose
 from tokenizers import Tokenizer
 
 from lindero.llm.bpe import Encoder, encode_decode
-from lindero.llm.packing import pack_documents
-from lindero.llm.tokencount import Counter, load_pieces, token_counts, zipf_scores
+from lindero.llm.packing import SumOfSquares, pack, pack_documents
+from lindero.llm.tokencount import Counter, load_scores, token_counts
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 TEXTS = AWKWARD + [
@@ -49,7 +49,7 @@ def slow_count(scores, word):
 
 
 def test_token_counts_equal_brute_force(spark):
-    scores = zipf_scores(load_pieces(PIECE))
+    scores = load_scores(PIECE)
     memo = {}
 
     def count(w):
@@ -65,6 +65,68 @@ def test_token_counts_equal_brute_force(spark):
     assert token_counts(documents(spark, []), PIECE).count() == 0
 
 
+def field(number, wire, body):
+    """A field of a protocol buffer."""
+    size = struct.pack("B", len(body)) if wire == 2 else b""
+    return bytes([number << 3 | wire]) + size + body
+
+
+def unigram_model(scores):
+    """A sentencepiece unigram model: pieces with scores, and settings that change no text but mark the starts of words."""
+    kinds = {"<unk>": 2, "<s>": 3, "</s>": 3}
+    rows = [(p, 0.0) for p in kinds] + list(scores.items())
+    out = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([kinds.get(p, 1)]))) for p, s in rows)
+    return out + field(2, 2, field(3, 0, b"\1")) + field(3, 2, field(1, 2, b"identity") + b"".join(field(n, 0, b"\1") for n in (3, 4, 5)))
+
+
+def test_counts_of_a_unigram_model_are_the_library_s(spark, tmp_path):
+    import sentencepiece
+
+    r, letters = random.Random(3), "abcdé"
+    scores = {x: -6 - r.random() for x in [*letters, "▁"]}
+    for _ in range(150):
+        n = r.randint(2, 6)
+        scores["▁" * (r.random() < 0.4) + "".join(r.choice(letters) for _ in range(n))] = -2 - n - r.random()
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(unigram_model(scores))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [(i, " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(r.randint(0, 60)))) for i in range(80)]
+    got = {r.doc_id: r.n_tokens for r in token_counts(documents(spark, texts), path).collect()}
+    assert got == {i: len(model.encode(t)) for i, t in texts}
+
+
+def slow_pack(sizes, capacity):
+    """Each size where the sum of the squared numbers of open bins by gap becomes smallest, the smallest gap of those that tie."""
+    gaps, out = [], []
+    for n in sizes:
+        best = None
+        for g in sorted({g for g in gaps if g >= n}):
+            after = list(gaps)
+            after.remove(g)
+            after.append(g - n)
+            total = sum(after.count(x) ** 2 for x in set(after) if x)
+            if best is None or total < best[0]:
+                best = (total, g)
+        if best:
+            gaps.remove(best[1])
+            gaps.append(best[1] - n)
+            out.append(capacity - best[1])
+        else:
+            gaps.append(capacity - n)
+            out.append(0)
+    return out, len(gaps)
+
+
+def test_sum_of_squares_equals_brute_force():
+    r = random.Random(4)
+    for capacity in (7, 20, 100):
+        for falling in (True, False):
+            sizes = sorted((r.randint(1, capacity) for _ in range(120)), reverse=falling) if falling else [r.randint(1, capacity) for _ in range(120)]
+            bins = SumOfSquares(capacity)
+            assert ([bins.add(n)[1] for n in sizes], bins.bins) == slow_pack(sizes, capacity)
+
+
 def test_packing(spark):
     t, rows = Tokenizer.from_file(WORD), TEXTS + [(100 + i, prose(i, 5 + 37 * i % 400)) for i in range(120)]
     want = []
@@ -87,3 +149,9 @@ def test_packing(spark):
     total = sum(r.length for r in got)
     assert len(bins) <= -(-total // 2048) + 2
     assert pack_documents(documents(spark, []), WORD).count() == 0
+
+
+def test_rows_without_ids_spread(spark):
+    parts = spark.createDataFrame([(None, 0, 0, 10 + i % 50, i) for i in range(400)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = pack(parts, 400, 64, ("doc_id", "piece", "start", "ids_crc32"), shard_rows=50).collect()
+    assert len({r.sequence_id >> 40 for r in got}) > 5 and len(got) == 400
