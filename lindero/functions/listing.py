@@ -129,6 +129,25 @@ def duplicate_group() -> Column:
     return F.concat_ws("|", *words, *numbers)
 
 
+def first_duplicate_group() -> Column:
+    """The group of the first data set: source, price, place, areas and rooms; numbers to two decimals without needless zeros but one, whole numbers as they are."""
+    parts = []
+    for n, kind in (("source", ""), ("price", "f"), ("municipality", ""), ("neighborhood", ""), ("land_area_m2", "f"), ("construction_area_m2", "f"), ("bedrooms", "i"), ("bathrooms", "f")):
+        number = F.when(c(n).isNotNull(), F.regexp_replace(F.format_string("%.2f", F.round(c(n).cast("double"), 2)), r"(\.\d)0$", "$1")) if kind == "f" else c(n).cast("string")
+        parts.append(F.coalesce(number if kind else F.lower(F.trim(c(n))), F.lit("")))
+    return F.concat_ws("|", *parts)
+
+
+def surface_ratio() -> Column:
+    """Built over land area to six decimals; null unless both are above 0."""
+    return F.when(positive("construction_area_m2") & positive("land_area_m2"), F.round(F.try_divide("construction_area_m2", "land_area_m2"), 6))
+
+
+def known_values(features: Column) -> Column:
+    """A map without its nulls."""
+    return F.map_filter(features, lambda _, v: v.isNotNull())
+
+
 def _close(a: Column, b: Column, tolerance: float) -> Column:
     return no((a == b) | (F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)) <= tolerance))
 
@@ -170,15 +189,26 @@ def capped_precision(precision: Column, street: Column, neighborhood: Column, po
     return F.when((capped == "postal_code") & ~postal_in_text, coarse).otherwise(capped)
 
 
-def coordinate_check(shared: Column, nearby: Column, reverse_known: Column, state_ok: Column, municipality_ok: Column, evidence: Column) -> Column:
-    """struct(status, quality) of a coordinate, from its box, what the reverse geocoder confirms and who shares it."""
-    row = lambda status, quality: F.struct(F.lit(status).alias("status"), F.lit(quality).alias("quality"))
-    alone = (shared == 1) & (nearby == 1)
+#: Notes of the coordinate check.
+NOTES = {
+    "outside": "coordenada fuera del rango esperado de Morelos", "crowded": "sin reverse geocoding; coordenada compartida o muy cercana a otros listings", "alone": "sin reverse geocoding; coordenada única no verificable",
+    "state": "reverse geocoding no confirma Morelos", "municipality": "reverse geocoding no confirma municipio", "shared": "municipio coincide; coordenada compartida por varias propiedades",
+}
+#: What confirms a coordinate, in the order of the note.
+EVIDENCE = ["calle coincide", "CP coincide", "colonia/zona coincide", "municipio coincide"]
+
+
+def coordinate_check(shared: Column, nearby: Column, reverse_known: Column, state_ok: Column, municipality_ok: Column, street_ok: Column, postcode_ok: Column, neighborhood_ok: Column) -> Column:
+    """struct(status, note, quality) of a coordinate, from its box, what the reverse geocoder confirms and who shares it."""
+    row = lambda status, note, quality: F.struct(F.lit(status).alias("status"), (F.lit(NOTES[note]) if isinstance(note, str) else note).alias("note"), F.lit(quality).alias("quality"))
+    found = F.array_join(_listed(*zip((street_ok, postcode_ok, neighborhood_ok, municipality_ok), EVIDENCE, strict=True)), ", ")
+    exact = no(street_ok) | no(postcode_ok) | no(neighborhood_ok)
     return (
-        F.when(~geo.within("region_17", c("latitude"), c("longitude")), row("inconsistent", "unusable"))
-        .when(~reverse_known, F.when((shared > 1) | (nearby > 1), row("unknown", "low")).otherwise(row("unknown", "medium")))
-        .when(~state_ok | ~municipality_ok, row("inconsistent", "unusable")).when(evidence & alone, row("consistent", "high"))
-        .when(shared == 1, row("partially_consistent", "medium")).otherwise(row("partially_consistent", "low"))
+        F.when(~no(geo.within("region_17", c("latitude"), c("longitude"))), row("inconsistent", "outside", "unusable"))
+        .when(~no(reverse_known), F.when((shared > 1) | (nearby > 1), row("unknown", "crowded", "low")).otherwise(row("unknown", "alone", "medium")))
+        .when(~no(state_ok), row("inconsistent", "state", "unusable")).when(~no(municipality_ok), row("inconsistent", "municipality", "unusable"))
+        .when(exact & (shared == 1) & (nearby == 1), row("consistent", found, "high"))
+        .when(shared == 1, row("partially_consistent", found, "medium")).otherwise(row("partially_consistent", "shared", "low"))
     )
 
 
@@ -191,6 +221,11 @@ def residential_reason() -> Column:
     )
 
 
+def first_model_reason() -> Column:
+    """Why a request can't be valued by the first model; null if it can."""
+    return F.when(~no(c("property_type").isin("casa", "departamento", "terreno")), "unsupported_property_type").when(c("latitude").isNull() | c("longitude").isNull(), "missing_location")
+
+
 def confidence(estimate: Column) -> Column:
     weak = (F.coalesce(c("inegi_cve_ageb"), F.lit("")) == "") | ~no(estimate.between(1e6, 12e6)) | no(c("municipality").isin(WEAK_MUNICIPALITIES))
     return F.when(weak, "LOW").otherwise("MEDIUM")

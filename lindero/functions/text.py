@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
+from functools import cache
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
@@ -34,6 +36,28 @@ def fold(c: Column) -> Column:
     return F.translate(F.lower(c), ACCENTS, PLAIN)
 
 
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Lower-case letters of the Latin blocks with their base letters, and those that stand for several."""
+    several = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij"}
+    single = {"ø": "o", "ł": "l", "đ": "d", "ð": "d", "ħ": "h", "ı": "i"}
+    for point in range(0xC0, 0x250):
+        base = unicodedata.normalize("NFKD", chr(point).lower())[0]
+        if chr(point).islower() and base != chr(point) and base.isascii():
+            single.setdefault(chr(point), base)
+    single = {k: v for k, v in single.items() if k not in several}
+    return "".join(single), "".join(single.values()), several
+
+
+def ascii_fold(c: Column) -> Column:
+    """Lower case, Latin letters as ASCII letters."""
+    letters, plain, several = _folds()
+    out = F.translate(F.lower(c), letters, plain)
+    for k, v in several.items():
+        out = F.replace(out, F.lit(k), F.lit(v))
+    return out
+
+
 def match_key(c: Column) -> Column:
     """For comparisons of places: folded, other characters as one blank, never null."""
     return F.coalesce(F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " ")), F.lit(""))

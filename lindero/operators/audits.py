@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lindero.functions import listing, places
 from lindero.operators import metrics
+from lindero.operators.quantiles import join_groups, quantiles
 
 #: Where a reliable area was read.
 RELIABLE_AREAS = ["visible_label", "metadata", "description"]
@@ -22,6 +23,9 @@ REQUEST_VALUES = {
     "location_precision": ["device", "neighborhood", "postal_code", "locality", "municipality"],
 }
 
+#: How far a model generalises: not, in part, well.
+DECISIONS = ["A_NO_GENERALIZA", "B_GENERALIZA_PARCIALMENTE", "C_GENERALIZA_RAZONABLEMENTE"]
+
 c = F.col
 
 
@@ -52,7 +56,8 @@ def value_counts_json(df: DataFrame, key: str, *fields: str) -> DataFrame:
 def source_profile(listings: DataFrame, predictions: DataFrame, fields: tuple[str, ...] = ("property_type", "municipality", "coordinate_quality")) -> DataFrame:
     """A row for each source: size, median price, counts as JSON, missing areas in percent, errors of its predictions."""
     gone = lambda n: (F.avg(c(n).isNull().cast("double")) * 100).alias(n.replace("area_m2", "missing_pct"))
-    size = listings.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.median("price").alias("median_price"), gone("land_area_m2"), gone("construction_area_m2"))
+    size = listings.groupBy("source").agg(F.count(F.lit(1)).alias("n"), gone("land_area_m2"), gone("construction_area_m2"))
+    size = join_groups(size, quantiles(listings, {"median_price": ("price", 0.5)}, "source"), "source")
     errors = metrics.errors(predictions, "source").select("source", "mae", "mape", "within_20_pct", "within_30_pct")
     return size.join(value_counts_json(listings, "source", *fields), "source").join(errors, "source", "left")
 
@@ -88,15 +93,15 @@ def request_errors() -> Column:
 
 def robustness(n: Column, within_20: Column, within_30: Column, mape: Column) -> Column:
     return (
-        F.when(n < 10, "insufficient").when((within_20 >= 40) & (mape <= 45), "robust").when((within_30 >= 50) & (mape <= 75), "promising").otherwise("weak")
+        F.when(n < 10, "INSUFFICIENT_DATA").when((within_20 >= 40) & (mape <= 45), "ROBUST").when((within_30 >= 50) & (mape <= 75), "PROMISING").otherwise("WEAK")
     )
 
 
 def decision(r2: Column, within_20: Column, mae_std: Column, weak: Column, extreme_mape: Column) -> Column:
-    """How far a model generalises: A (not), B (in part) or C (well), from its errors, their spread over seeds, the number of weak groups and the worst error among extreme bands."""
+    """One of DECISIONS, from a model's errors, their spread over seeds, the number of weak groups and the worst error among extreme bands."""
     return (
-        F.when((r2 < 0.35) | (within_20 < 25), "A").when((weak >= 3) | F.coalesce(extreme_mape > 60, F.lit(True)), "B")
-        .when((r2 >= 0.6) & (mae_std < 900_000), "C").otherwise("B")
+        F.when((r2 < 0.35) | (within_20 < 25), DECISIONS[0]).when((weak >= 3) | F.coalesce(extreme_mape > 60, F.lit(True)), DECISIONS[1])
+        .when((r2 >= 0.6) & (mae_std < 900_000), DECISIONS[2]).otherwise(DECISIONS[1])
     )
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lindero.functions.listing import no, positive
 
-#: Municipalities and bands that go first.
+#: Municipalities and bands that go first, and the source that goes last.
 FIRST, SECOND = ["Cuernavaca", "Yautepec", "Temixco", "Emiliano Zapata"], ["Jiutepec", "Xochitepec", "Cuautla", "Atlatlahucan"]
+LAST_SOURCE = "mercadolibre"
 FIRST_BANDS = ["<1M", "1M-2M", "2M-3M", "12M-20M", ">20M"]
 
 
@@ -21,10 +22,10 @@ def is_candidate() -> Column:
     )
 
 
-def priority(first: list[str] = FIRST, second: list[str] = SECOND) -> list[Column]:
+def priority(first: list[str] = FIRST, second: list[str] = SECOND, last_source: str = LAST_SOURCE) -> list[Column]:
     place = F.when(no(F.col("municipality").isin(first)), 0).when(no(F.col("municipality").isin(second)), 1).otherwise(2)
     band = F.when(no(F.col("price_band").isin(FIRST_BANDS)), 0).otherwise(1)
-    return [place, band, no(F.col("property_type") != "departamento"), no(F.col("source") == "portal_c"), F.coalesce("source_id", F.lit("")), F.col("id")]
+    return [place, band, no(F.col("property_type") != "departamento"), no(F.col("source") == last_source), F.coalesce("source_id", F.lit("")), F.col("id")]
 
 
 def select(rows: DataFrame, known: DataFrame, order: list[Column], limit: int) -> tuple[DataFrame, DataFrame]:

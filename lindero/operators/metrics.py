@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lindero.functions import listing
+from lindero.operators.quantiles import join_groups, quantiles, running_sums
 
 
 def with_errors(df: DataFrame) -> DataFrame:
@@ -20,22 +23,27 @@ def with_errors(df: DataFrame) -> DataFrame:
     })
 
 
-def error_columns() -> list[Column]:
-    """The error metrics of a group, in one pass."""
-    share = lambda p: (F.avg((F.col("percentage_error") <= p).cast("double")) * 100).alias(f"within_{p}_pct")
-    # 1 - SSE / SST, with SST from the moments that one pass gives.
-    r2 = F.lit(1.0) - F.try_divide(F.sum(F.col("residual") * F.col("residual")), F.var_pop("actual_price") * F.count(F.lit(1)))
-    return [
-        F.count(F.lit(1)).alias("n"), F.avg("absolute_error").alias("mae"), F.median("absolute_error").alias("median_ae"),
-        F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rmse"), r2.alias("r2"), F.avg("percentage_error").alias("mape"),
-        F.median("percentage_error").alias("median_ape"), share(10), share(20), share(30), F.avg("residual").alias("bias_mean"),
-        F.median("residual").alias("bias_median"), F.median("prediction_ratio").alias("median_prediction_ratio"),
-    ]
+def enriched(predictions: DataFrame, known: DataFrame, on: list[str], fields: list[str]) -> DataFrame:
+    """Predictions with the errors and the fields of the listings that agree in all of the columns on, nulls with nulls."""
+    return join_groups(with_errors(predictions), known.select(*on, *fields), *on)
+
+
+#: The medians among the error metrics.
+MEDIANS = {"median_ae": ("absolute_error", 0.5), "median_ape": ("percentage_error", 0.5), "bias_median": ("residual", 0.5), "median_prediction_ratio": ("prediction_ratio", 0.5)}
 
 
 def errors(df: DataFrame, *keys: str) -> DataFrame:
-    """Error metrics of all rows together, or by keys."""
-    return with_errors(df).groupBy(*keys).agg(*error_columns())
+    """Error metrics of all rows together, or by keys: sums in one pass, and exact medians."""
+    e = with_errors(df)
+    share = lambda p: (F.avg((F.col("percentage_error") <= p).cast("double")) * 100).alias(f"within_{p}_pct")
+    # 1 - SSE / SST, with SST from the moments that one pass gives.
+    r2 = F.lit(1.0) - F.try_divide(F.sum(F.col("residual") * F.col("residual")), F.var_pop("actual_price") * F.count(F.lit(1)))
+    sums = e.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("absolute_error").alias("mae"), F.sqrt(F.avg(F.col("residual") * F.col("residual"))).alias("rmse"), r2.alias("r2"),
+        F.avg("percentage_error").alias("mape"), share(10), share(20), share(30), F.avg("residual").alias("bias_mean"),
+    )
+    names = ("n", "mae", "median_ae", "rmse", "r2", "mape", "median_ape", "within_10_pct", "within_20_pct", "within_30_pct", "bias_mean", "bias_median", "median_prediction_ratio")
+    return join_groups(sums, quantiles(e, MEDIANS, *keys), *keys).select(*keys, *names)
 
 
 def sample_quality(n: Column, poor: int = 10, fair: int = 20) -> Column:
@@ -50,9 +58,7 @@ def fold_means(df: DataFrame, fold: str = "fold") -> DataFrame:
 
 def band_bias(df: DataFrame) -> DataFrame:
     ratio = F.col("median_prediction_ratio")
-    return with_errors(df).groupBy("price_band").agg(*error_columns()).select(
-        "price_band", "n", "mape", "bias_mean", "median_prediction_ratio", F.when(ratio > 1.05, "over").when(ratio < 0.95, "under").otherwise("balanced").alias("direction")
-    )
+    return errors(df, "price_band").select("price_band", "n", "mape", "bias_mean", "median_prediction_ratio", F.when(ratio > 1.05, "over").when(ratio < 0.95, "under").otherwise("balanced").alias("direction"))
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -64,12 +70,13 @@ def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
 def profile(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Count, missing, moments and percentiles; the deviation of one value is 0."""
     x = F.col(value)
-    q = F.percentile(x, F.array(*map(F.lit, (0.05, 0.25, 0.75, 0.95))))
     stats = df.groupBy(*keys).agg(
-        F.count(x).alias("count"), F.count_if(x.isNull()).alias("missing"), F.avg(x).alias("mean"), F.median(x).alias("median"),
-        F.when(F.count(x) == 1, 0.0).otherwise(F.stddev_samp(x)).alias("std"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"),
+        F.count(x).alias("count"), F.count_if(x.isNull()).alias("missing"), F.avg(x).alias("mean"),
+        F.when(F.count(x) == 1, 0.0).otherwise(F.stddev_samp(x)).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
     )
-    return stats.withColumns({n: F.col("q")[i] for i, n in enumerate(("p05", "p25", "p75", "p95"))}).drop("q")
+    points = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    q = quantiles(df, {n: (value, p) for n, p in points.items()}, *keys)
+    return join_groups(stats, q, *keys).select(*keys, "count", "missing", "mean", "median", "std", "min", "max", "p05", "p25", "p75", "p95")
 
 
 def band_distribution(df: DataFrame, price: str = "price") -> DataFrame:
@@ -85,9 +92,9 @@ def fences(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Quartile fences of a value by keys, and how many rows lie outside."""
     x = F.col(value)
     have = df.where(x.isNotNull())
-    q = have.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    edges = q.select(*keys, F.col("q")[1].alias("median"), (F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("low"), (F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("high"))
-    return have.join(edges, list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("median").alias("median"), F.first("low").alias("low"), F.first("high").alias("high"), F.count_if((x < F.col("low")) | (x > F.col("high"))).alias("outliers"))
+    q = quantiles(have, {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)}, *keys)
+    edges = q.select(*keys, "median", F.expr("q1 - 1.5 * (q3 - q1)").alias("low"), F.expr("q3 + 1.5 * (q3 - q1)").alias("high"))
+    return join_groups(have, edges, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("median").alias("median"), F.first("low").alias("low"), F.first("high").alias("high"), F.count_if((x < F.col("low")) | (x > F.col("high"))).alias("outliers"))
 
 
 def missingness(df: DataFrame, fields: list[str], *scopes: str) -> DataFrame:
@@ -100,70 +107,97 @@ def missingness(df: DataFrame, fields: list[str], *scopes: str) -> DataFrame:
     return out.select(scope.alias("scope"), value.alias("value"), "field", "missing", (F.col("missing") * 100.0 / F.col("n")).alias("percent"))
 
 
+#: The errors whose percentiles are reported.
+ERRORS = {"absolute_percentage_error": "percentage_error", "absolute_error": "absolute_error", "residual": "residual"}
+
+
 def error_percentiles(df: DataFrame, *scopes: str) -> DataFrame:
-    """p50 to p95 of the percentage error over all rows and by each scope."""
-    e = with_errors(df)
-    points = (0.5, 0.68, 0.8, 0.9, 0.95)
-    out = e.groupingSets([[], *[[F.col(s)] for s in scopes]], *scopes).agg(F.count(F.lit(1)).alias("n"), F.percentile("percentage_error", F.array(*map(F.lit, points))).alias("q"), *[F.grouping(s).alias(f"g_{s}") for s in scopes])
-    scope = F.coalesce(*[F.when(F.col(f"g_{s}") == 0, s) for s in scopes], F.lit("global"))
-    value = F.coalesce(*[F.when(F.col(f"g_{s}") == 0, F.col(s).cast("string")) for s in scopes], F.lit("all"))
-    return out.select(scope.alias("scope"), value.alias("value"), "n", *[F.col("q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
+    """scope, value, metric, n and p50 to p95 of each error, over all rows and by each scope."""
+    e, points = with_errors(df), (0.5, 0.68, 0.8, 0.9, 0.95)
+    parts = []
+    for scope in (None, *scopes):
+        keys = [scope] if scope else []
+        q = quantiles(e, {f"{m}_{round(100 * p)}": (c, p) for m, c in ERRORS.items() for p in points}, *keys)
+        rows = join_groups(e.groupBy(*keys).agg(*[F.count(c).alias(f"{m}_n") for m, c in ERRORS.items()]), q, *keys)
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_n").alias("n"), *[F.col(f"{m}_{round(100 * p)}").alias(f"p{round(100 * p)}") for p in points]) for m in ERRORS])).alias("x")
+        parts.append(rows.select(F.lit(scope or "global").alias("scope"), (F.col(scope).cast("string") if scope else F.lit("all")).alias("value"), each).select("scope", "value", "x.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def calibration(df: DataFrame, bins: int = 6) -> DataFrame:
-    """Actual and predicted means by right-closed quantile bins of the prediction."""
-    cuts = df.agg(F.percentile("predicted_price", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("cuts"))
-    binned = df.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda x: x < F.col("predicted_price"))))  # one row
-    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("actual_price").alias("actual_mean"), F.avg("predicted_price").alias("predicted_mean"), F.median("actual_price").alias("actual_median"), F.avg(F.col("predicted_price") - F.col("actual_price")).alias("bias"))
+    """Actual and predicted means and medians by right-closed quantile bins of the prediction."""
+    cuts = quantiles(df, {f"c{i}": ("predicted_price", i / bins) for i in range(1, bins)})
+    cut = F.array(*[F.col(f"c{i}") for i in range(1, bins)])
+    binned = join_groups(df, cuts.select(cut.alias("cuts"))).withColumn("bin", F.size(F.filter("cuts", lambda x: x < F.col("predicted_price")))).drop("cuts")
+    means = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("actual_price").alias("actual_mean"), F.avg("predicted_price").alias("predicted_mean"), F.avg(F.col("predicted_price") - F.col("actual_price")).alias("bias"))
+    return join_groups(means, quantiles(binned, {"actual_median": ("actual_price", 0.5), "predicted_median": ("predicted_price", 0.5)}, "bin"), "bin")
 
 
-def intervals(history: DataFrame, df: DataFrame, key: str, least: int) -> DataFrame:
+def intervals(history: DataFrame, df: DataFrame, key: str | None, least: int) -> DataFrame:
     """low and high at 80 and 90 percent, from the errors of the row's group, or of all where the group has fewer than least."""
-    q = F.percentile("percentage_error", F.array(F.lit(0.8), F.lit(0.9)))
     e = with_errors(history)
-    groups = e.groupBy(key).agg(F.count(F.lit(1)).alias("have"), q.alias("own")).where(F.col("have") >= least)
-    all_ = e.agg(q.alias("all"))
-    joined = df.join(groups, key, "left").crossJoin(F.broadcast(all_))  # one row
-    p = F.coalesce("own", "all")
-    at = {f"{side}_{level}": F.col("predicted_price") * (1 + sign * p[i] / 100) for i, level in enumerate((80, 90)) for side, sign in (("low", -1), ("high", 1))}
-    return joined.withColumns(at).drop("have", "own", "all")
+    q = lambda name: {f"{name}_80": ("percentage_error", 0.8), f"{name}_90": ("percentage_error", 0.9)}
+    all_ = quantiles(e, q("__all"))
+    own = []
+    if key is not None:
+        have = e.groupBy(key).agg(F.count(F.lit(1)).alias("__have"))
+        own = [join_groups(have, quantiles(e, q("__own"), key), key).where(F.col("__have") >= least).drop("__have")]
+        df = df if key in df.columns else with_errors(df)
+    joined = join_groups(join_groups(df, own[0], key) if own else df, all_)
+    p = lambda level: F.coalesce(*[F.col(f"__own_{level}")] * len(own), F.col(f"__all_{level}"))
+    at = {f"{side}_{level}": F.col("predicted_price") * (1 + sign * p(level) / 100) for level in (80, 90) for side, sign in (("low", -1), ("high", 1))}
+    return joined.withColumns(at).drop("__own_80", "__own_90", "__all_80", "__all_90")
+
+
+def interval_methods(history: DataFrame, df: DataFrame) -> DataFrame:
+    """method, coverage and width of the intervals from the errors of all rows, of the price band (10 at least) and of the property type (20 at least)."""
+    methods = {"global_pct": (None, 0), "price_band_pct": ("price_band", 10), "property_type_pct": ("property_type", 20)}
+    return reduce(DataFrame.unionByName, [coverage(intervals(history, df, key, least)).select(F.lit(m).alias("method"), "*") for m, (key, least) in methods.items()])
 
 
 def coverage(df: DataFrame, *keys: str) -> DataFrame:
     inside = lambda n: (F.avg(F.col("actual_price").between(F.col(f"low_{n}"), F.col(f"high_{n}")).cast("double")) * 100).alias(f"coverage_{n}")
-    width = F.col("high_90") - F.col("low_90")
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), inside(80), inside(90), F.avg(width).alias("mean_width"), F.median(width).alias("median_width"))
+    wide = df.withColumn("__width", F.col("high_90") - F.col("low_90"))
+    means = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), inside(80), inside(90), F.avg("__width").alias("mean_width"))
+    return join_groups(means, quantiles(wide, {"median_width": ("__width", 0.5)}, *keys), *keys)
+
 
+def weighted_quantiles(df: DataFrame, value: str, weight: str, points: dict[str, float], *keys: str, small: bool = False) -> DataFrame:
+    """The smallest value at which the weights so far reach the share; rows without a finite value or a positive weight don't count.
 
-def weighted_quantiles(df: DataFrame, value: str, weight: str, points: dict[str, float], *keys: str) -> DataFrame:
-    """The smallest value at which the weights so far reach the share; rows without a finite value or a positive weight don't count."""
+    small: no group has more values than a task can sort.
+    """
     v, w = F.col(value), F.col(weight)
     ok = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) & ~F.isnan(w) & (w > 0) & (w != float("inf")))
     # Equal values are one step, so that they are summed before the window runs over them.
     steps = ok.groupBy(*keys, value).agg(F.sum(w).alias("w"))
-    by = Window.partitionBy(*keys)
-    run = steps.withColumns({"so_far": F.sum("w").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("w").over(by)})
+    if small:
+        by = Window.partitionBy(*keys)
+        run = steps.withColumns({"so_far": F.sum("w").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("w").over(by)})
+    else:
+        run = running_sums(steps, list(keys), value, "w")
     return run.groupBy(*keys).agg(*[F.min(F.when(F.col("so_far") >= q * F.col("all"), v)).alias(n) for n, q in points.items()])
 
 
 def outliers(df: DataFrame, error_flags: list[str]) -> DataFrame:
     """The first kind that applies: flagged data, a price beyond p05 or p95, an error beyond p95."""
     e = with_errors(df)
-    cuts = e.agg(F.percentile("actual_price", F.array(F.lit(0.05), F.lit(0.95))).alias("price_cut"), F.percentile("percentage_error", F.lit(0.95)).alias("error_cut"))
+    cuts = quantiles(e, {"__low": ("actual_price", 0.05), "__high": ("actual_price", 0.95), "__error": ("percentage_error", 0.95)})
     kind = (
         F.when(F.coalesce(F.arrays_overlap("flags", F.array(*map(F.lit, error_flags))), F.lit(False)), "probably_wrong")
-        .when((F.col("actual_price") >= F.col("price_cut")[1]) | (F.col("actual_price") <= F.col("price_cut")[0]), "extreme_price")
-        .when(F.col("percentage_error") >= F.col("error_cut"), "extreme_error")
+        .when((F.col("actual_price") >= F.col("__high")) | (F.col("actual_price") <= F.col("__low")), "extreme_price")
+        .when(F.col("percentage_error") >= F.col("__error"), "extreme_error")
     )
-    return e.crossJoin(F.broadcast(cuts)).withColumn("outlier_type", kind).where("outlier_type is not null").drop("price_cut", "error_cut")  # one row
+    return join_groups(e, cuts).withColumn("outlier_type", kind).where("outlier_type is not null").drop("__low", "__high", "__error")
 
 
-def bootstrap(df: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame:
-    """Percentile intervals of the mean errors over resamples, in one pass: each row counts Poisson(1) times in each replicate.
+def bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """metric, mean, low and high: percentile intervals of mean errors and shares over resamples, in which each row counts Poisson(1) times.
 
-    A row draws from its own hash, so nothing is joined or gathered, and a task that runs again draws alike.
+    A row draws from its own hash, so nothing is joined or gathered, and a task that runs again draws alike. A
+    replicate's sums come together before the shuffle.
     """
-    e = with_errors(df)
+    e = with_errors(df).select("id", "absolute_error", "percentage_error")
     u = lambda r: (F.pmod(F.xxhash64("id", F.lit(seed), r), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     #: Cumulative probabilities of 0 to 6 draws.
     steps, p, total = [], 0.36787944117144233, 0.0
@@ -172,7 +206,10 @@ def bootstrap(df: DataFrame, replicates: int = 100, seed: int = 42) -> DataFrame
         steps.append(total)
         p /= k + 1
     drawn = e.select("absolute_error", "percentage_error", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: sum((F.when(u(r) > s, 1).otherwise(0) for s in steps), F.lit(0)))).alias("replicate", "times")).where("times > 0")
-    each = drawn.groupBy("replicate").agg((F.sum(F.col("absolute_error") * F.col("times")) / F.sum("times")).alias("mae"), (F.sum(F.col("percentage_error") * F.col("times")) / F.sum("times")).alias("mape"))
-    long = each.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("mae", "mape")])).alias("x")).select("x.*")
-    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
+    mean = lambda c: F.sum(c * F.col("times")) / F.sum("times")
+    share = lambda n: mean((F.col("percentage_error") <= n).cast("double")) * 100
+    figures = {"mae": mean(F.col("absolute_error")), "mape": mean(F.col("percentage_error")), "within_20_pct": share(20), "within_30_pct": share(30)}
+    each = drawn.groupBy("replicate").agg(*[v.alias(n) for n, v in figures.items()])
+    long = each.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in figures])).alias("x")).select("x.*")
+    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))  # over the replicates
     return long.groupBy("metric").agg(F.avg("v").alias("mean"), q.alias("q")).select("metric", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

@@ -24,6 +24,34 @@ def published(df: DataFrame) -> DataFrame:
     return visible(df).where("status = 'published' and published_at is not null")
 
 
+def featured(df: DataFrame) -> DataFrame:
+    return df.where("is_featured")
+
+
+def offered(df: DataFrame, operation: str) -> DataFrame:
+    """Listings for sale or for rent."""
+    return df.where(F.col("operation") == operation)
+
+
+def to_geocode(df: DataFrame, source: str | None = None, municipality: str | None = None, limit: int | None = None) -> DataFrame:
+    """Rows with any text that a geocoder can use, by id."""
+    some = df.where(F.coalesce("address_text", "neighborhood", "municipality", "state").isNotNull())
+    ordered = where_given(some, source=source, municipality=municipality).orderBy("id")
+    return ordered.limit(limit) if limit else ordered
+
+
+def stored(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows by their last change, the newest first; the id decides between equals."""
+    ordered = df.orderBy(F.desc_nulls_last("updated_at"), "id")
+    return ordered.limit(limit) if limit else ordered
+
+
+def census_blocks(df: DataFrame, entity: str | None = None) -> DataFrame:
+    """The rows of a census that stand for a whole area: block code 000, and area code not 0000 where one entity is asked for."""
+    whole = df.where("MZA = '000'")
+    return whole.where((F.col("ENTIDAD") == entity) & (F.col("AGEB") != "0000")) if entity else whole
+
+
 def where_given(df: DataFrame, **equal) -> DataFrame:
     """Equality on each column whose value is given."""
     for name, value in equal.items():
@@ -74,8 +102,3 @@ def facets(df: DataFrame, *columns: str) -> DataFrame:
 def flagged(flags: Column, names: list[str]) -> Column:
     """The flags (texts joined by commas) share one with the names."""
     return no(F.arrays_overlap(F.split(flags, ","), F.array(*map(F.lit, names))))
-
-
-def missing_columns(df: DataFrame, wanted: list[str]) -> list[str]:
-    """Set difference of names: what a dataset lacks."""
-    return [x for x in wanted if x not in df.columns]

@@ -40,7 +40,7 @@ def through_bridge(left: DataFrame, bridge: DataFrame, right: DataFrame, left_ke
 
 def related(df: DataFrame, item: DataFrame, n: int = 3) -> DataFrame:
     """Published listings of the item's type and place, the newest, the item itself excepted."""
-    i = F.broadcast(item.select(F.col("id").alias("__id"), F.col("property_type").alias("__type"), F.col("municipality").alias("__place")))  # one row
+    i = F.broadcast(item.limit(1).select(F.col("id").alias("__id"), F.col("property_type").alias("__type"), F.col("municipality").alias("__place")))  # one row
     same = (F.col("property_type") == F.col("__type")) & (F.col("municipality") == F.col("__place")) & (F.col("id") != F.col("__id"))
     return published(df).join(i, same).drop("__id", "__type", "__place").orderBy(F.desc("published_at"), "id").limit(n)
 

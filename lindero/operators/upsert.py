@@ -19,17 +19,19 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], recency: str, keep_f
     return joined.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in keep_first}).drop(*[f"__{c}" for c in keep_first])
 
 
-def upsert_counts(old: DataFrame, new: DataFrame, keys: list[str], valid: Column, changed: list[str]) -> DataFrame:
-    """One row: created, updated, unchanged, skipped (not valid)."""
+def upsert_counts(old: DataFrame, new: DataFrame, keys: list[str], valid: Column, changed: list[str], broken: Column | None = None) -> DataFrame:
+    """One row: created, updated, unchanged, skipped (not valid) and errors (broken rows, which count as nothing else)."""
     marked = old.select(*keys, *[F.col(c).alias(f"__{c}") for c in changed], F.lit(True).alias("__old"))
-    joined = new.withColumn("__valid", F.coalesce(valid, F.lit(False))).join(marked, keys, "left")
+    bad = F.coalesce(broken, F.lit(False)) if broken is not None else F.lit(False)
+    joined = new.withColumns({"__bad": bad, "__valid": F.coalesce(valid, F.lit(False)) & ~bad}).join(marked, keys, "left")
     same = F.lit(True)
     for c in changed:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     known = F.coalesce("__old", F.lit(False))
     return joined.agg(
         F.count_if(F.col("__valid") & ~known).alias("created"), F.count_if(F.col("__valid") & known & ~same).alias("updated"),
-        F.count_if(F.col("__valid") & known & same).alias("unchanged"), F.count_if(~F.col("__valid")).alias("skipped"),
+        F.count_if(F.col("__valid") & known & same).alias("unchanged"), F.count_if(~F.col("__valid") & ~F.col("__bad")).alias("skipped"),
+        F.count_if("__bad").alias("errors"),
     )
 
 
@@ -50,3 +52,9 @@ def fresh_or_stale(wanted: DataFrame, cache: DataFrame, fetched: DataFrame, key:
     fresh = F.when(F.col("__fresh"), F.col("__cached"))
     origin = F.when(fresh.isNotNull(), "cache").when(F.col("__fetched").isNotNull(), "fetched").when(F.col("__cached").isNotNull(), "stale")
     return joined.select(key, F.coalesce(fresh, F.col("__fetched"), F.col("__cached")).alias("value"), origin.alias("origin"))
+
+
+def first_or_create(known: DataFrame, asked: DataFrame, keys: list[str], defaults: dict[str, str]) -> DataFrame:
+    """The known rows as they are, and a row with the defaults for each key asked for that they lack; a null key asks for none."""
+    new = asked.select(*keys).na.drop(subset=keys).distinct().join(known.select(*keys), keys, "left_anti")
+    return known.unionByName(new.withColumns({n: F.lit(v) for n, v in defaults.items()}), allowMissingColumns=True)

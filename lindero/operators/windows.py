@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lindero.operators.quantiles import ranked
+
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each group."""
@@ -17,16 +19,14 @@ def top_of(df: DataFrame, keys: list[str], order: list[Column | str], n: int) ->
     return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 
-def middle_of(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The row at place n // 2 of each sorted group."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({"__rank": F.row_number().over(w.orderBy(*order)), "__n": F.count(F.lit(1)).over(w)})
-    return ranked.where("__rank = floor(__n / 2) + 1").drop("__rank", "__n")
+def middle_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row at place n // 2 of each sorted group; the first column of the order is a number."""
+    return ranked(df, keys, F.col(order[0]), *order[1:]).where("__rank = floor(__n / 2) + 1").drop("__rank", "__n")
 
 
-def interleave(df: DataFrame, group: str, order: list[Column | str], key: str, limit: int) -> DataFrame:
-    """One row of each group in turn; the first of rows with one key counts; cut to limit."""
-    turn = df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+def interleave(df: DataFrame, group: str, order: list[str], key: str, limit: int) -> DataFrame:
+    """One row of each group in turn, by a number and ties; the first of rows with one key counts; cut to limit."""
+    turn = ranked(df, [group], F.col(order[0]), *order[1:]).withColumnRenamed("__rank", "turn").drop("__n")
     return first_of(turn, [key], ["turn", group]).orderBy("turn", group).limit(limit)
 
 
@@ -38,7 +38,8 @@ def numbered_slugs(df: DataFrame, slug: str, order: list[Column | str]) -> DataF
 
 def group_folds(df: DataFrame, group: Column, folds: int = 5) -> DataFrame:
     """A fold for each row by its group's hash: whole groups stay together, and nothing is gathered to balance them."""
-    return df.withColumn("fold", F.pmod(F.crc32(group.cast("binary")), F.lit(folds)).cast("int"))
+    hashed = F.conv(F.substring(F.md5(group.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.withColumn("fold", F.pmod(F.coalesce(hashed, F.lit(0)), F.lit(folds)).cast("int"))
 
 
 def worst(df: DataFrame, columns: list[str], each: int, most: int, key: str) -> DataFrame:
@@ -53,5 +54,6 @@ def worst(df: DataFrame, columns: list[str], each: int, most: int, key: str) ->
 def exact_sample(df: DataFrame, strata: list[str], n: Column, key: str, seed: int) -> DataFrame:
     """Exactly n rows of each stratum (all, if fewer), by a seeded hash."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*strata).orderBy(order, key)))
-    return ranked.where(F.col("__rank") <= n).drop("__rank")
+    # The order's first 48 bits as a number, which has the same order.
+    dealt = ranked(df.withColumn("__order", order), strata, F.conv(F.substring("__order", 1, 12), 16, 10).cast("long"), "__order", key)
+    return dealt.where(F.col("__rank") <= n).drop("__rank", "__n", "__order")

@@ -34,4 +34,4 @@ def training_set(rows: DataFrame) -> DataFrame:
         "price_per_land_m2": listing.price_per_land_m2(), "training_readiness": listing.readiness(), "duplicate_group_id": listing.duplicate_group(),
     })
     clean = graded.where(~F.arrays_overlap("quality_flags", F.array(*map(F.lit, listing.ERROR_FLAGS))) & F.col("training_readiness").isin("A", "B", "C"))
-    return windows.first_of(clean, ["duplicate_group_id"], ["source", "source_id"])
+    return windows.first_of(clean, ["duplicate_group_id"], ["source", "source_id", "id"])

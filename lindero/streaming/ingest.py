@@ -30,5 +30,7 @@ def upsert_into(spark: SparkSession, stream: DataFrame, folder: str, keys: list[
         if number:
             new = upsert(spark.read.parquet(f"{folder}/version={number - 1}"), new, keys, recency)
         new.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={number - 2}")  # the one before is kept for a batch that runs again
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
