@@ -127,7 +127,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """All columns of docs, of each group of texts that similarity links only the row that comes first by id and text."""
     plain = plain_names(docs)
     text, id_ = (F.col(f"c{docs.columns.index(c)}") for c in (text_col, id_col))
-    rows = plain.withColumn("row", F.struct(id_.isNull().alias("missing"), id_.alias("id"), text_key(text).alias("key")))
+    # Cast, so that the parts may be null here as they may where the rows are read back: else the join would not see one type.
+    kind = f"struct<missing:boolean,id:{docs.schema[id_col].dataType.simpleString()},key:bigint>"
+    rows = plain.withColumn("row", F.struct(id_.isNull(), id_, text_key(text)).cast(kind))
     groups = similar.near_duplicates(rows.select("row", text.alias("text")), "row", "text", shingle, similarity)
     first = groups.where("row = component_id").select("row").distinct()
-    return rows.join(first, "row", "left_semi").dropDuplicates(["row"]).drop("row").toDF(*docs.columns)
+    # Both steps deal the texts by row, so they are shuffled once; an inner join, since a semi-join would go before the first step.
+    return rows.dropDuplicates(["row"]).join(first, "row").drop("row").toDF(*docs.columns)

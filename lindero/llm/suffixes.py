@@ -153,7 +153,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     kinds = written_table(reaches.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")))
     near = reaches.join(kinds, "gram")
     full = F.expr("shiftleft(1L, windows) - 1")
-    alike = near.where("kinds = 1 and many").select("gram", "reach", "first", full.alias("repeated"), full.alias("own"), F.col("first.id").alias("first_id"))
+    alike = near.where("kinds = 1 and many").select("gram", "reach", "many", "first", full.alias("repeated"), full.alias("own"), F.col("first.id").alias("first_id"))
     # Where neighbours differ: extend by the windows of one text for each reach.
     asked = near.where("kinds > 1").select(F.col("first.id").alias("id"), F.col("first.key").alias("key"), F.struct(F.col("first.at").alias("at"), "windows", "gram", "reach", "many").alias("r"))
     asked = asked.groupBy("id", "key").agg(F.collect_list("r").alias("reaches")).toDF("asked_id", "asked_key", "reaches")
@@ -165,15 +165,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     extended = (
         windows.join(known, "window")
         .groupBy("gram", "reach")
-        .agg(F.min(_place("at - place")).alias("first"), F.bit_or(bit).alias("repeated"), F.bit_or(F.when(_place() == F.col("start"), bit).otherwise(F.lit(0).cast("long"))).alias("own"), F.min("start.id").alias("first_id"))
+        .agg(F.max("many").alias("many"), F.min(_place("at - place")).alias("first"), F.bit_or(bit).alias("repeated"), F.bit_or(F.when(_place() == F.col("start"), bit).otherwise(F.lit(0).cast("long"))).alias("own"), F.min("start.id").alias("first_id"))
     )
     found = written_table(alike.unionByName(extended))
     at_first = _place() == F.col("first")
-    members = suffixes.join(found, ["gram", "reach"]).select(
-        "id", "key", "at", "first_id",
-        F.when(at_first, F.expr("repeated & ~own")).otherwise(F.col("repeated")).alias("cut"),
+    marks = [
+        "id", "key", "at", "first_id", F.when(at_first, F.expr("repeated & ~own")).otherwise(F.col("repeated")).alias("cut"),
         F.when(at_first, F.col("own")).otherwise(F.lit(0).cast("long")).alias("keep"),
-    )
+    ]
+    # Most reaches have one place, which they name; only the places of the others are looked up.
+    alone = found.where("not many").withColumns({n: F.col(f"first.{n}") for n in ("id", "key", "at")}).select(*marks)
+    members = alone.unionByName(suffixes.join(found.where("many"), ["gram", "reach"]).select(*marks))
     # A document's marks are as many as its suffixes; rows that repeat it add none.
     by_doc = members.groupBy("id", "key").agg(F.collect_set(F.struct("at", "cut", "keep", "first_id")).alias("marks"))
     kind = src.schema["id"].dataType.simpleString()
