@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, id_col:
                 known.fill(set().union(*split))
                 doc, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, words in enumerate(split, a):
-                    whole = b"".join([known[w] for w in words]) + close
+                    whole = b"".join(map(known.__getitem__, words)) + close
                     for k, at in enumerate(range(0, len(whole), width)):
                         part = whole[at : at + width]
                         doc.append(i)

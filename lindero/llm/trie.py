@@ -8,6 +8,7 @@ prefix gives the hash of any string that ends at a node from two prefixes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 
@@ -110,7 +111,7 @@ class Cache(dict):
         self.compute, self.limit = compute, limit
 
     def fill(self, strings: set) -> None:
-        missing = [w for w in strings if w not in self]
+        missing = list(filterfalse(self.__contains__, strings))
         if len(self) + len(missing) > self.limit:
             used = {w: self[w] for w in strings if w in self}
             self.clear()
