@@ -32,7 +32,9 @@ def _given(column: Column, *parts: Column | str) -> Column:
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    return sample.listings(spark, sf_dir).withColumns({"whole_price": F.round("price").cast("long"), "source": F.lit("portal")})
+    """The listings, dealt anew, since reading pages is much work for the rows of one small file."""
+    rows = sample.listings(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "id")
+    return rows.withColumns({"whole_price": F.round("price").cast("long"), "source": F.lit("portal")})
 
 
 @query(f"""{_BASE} SELECT concat('L-', id + 100000) AS source_id, concat('https://example.com/property/L-', id + 100000) AS url, {_TITLE} AS title, property_type, {_OPERATION} AS operation,

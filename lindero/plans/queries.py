@@ -519,7 +519,28 @@ def census_lookup(spark, sf_dir):
 # Comparables
 
 
-@query()
+_RISE = lambda a, b, start: f"least(1e0, greatest(0e0, (least({a}, {b}) / greatest({a}, {b}) - {start}e0) / (1 - {start}e0)))"
+_ROOMS = " + ".join(f"greatest(0e0, 1 - abs(coalesce(k.{n}, 0)::DOUBLE - coalesce(t.{n}, 0)::DOUBLE) / 2) * {w}" for n, w in (("bedrooms", 10), ("bathrooms", 8), ("parking_spaces", 5)))
+_EQUAL = lambda n: f"(coalesce(t.{n}, '') = coalesce(k.{n}, ''))"
+_HALF = "(sin(radians(k.latitude - t.latitude) / 2) * sin(radians(k.latitude - t.latitude) / 2) + cos(radians(t.latitude)) * cos(radians(k.latitude)) * sin(radians(k.longitude - t.longitude) / 2) * sin(radians(k.longitude - t.longitude) / 2))"
+_TIER_OF = lambda x: "CASE " + " ".join(f"WHEN {x} = '{n}' THEN {v}e0" for n, v in comparables.TIERS) + " END"
+
+
+@query(f"""{_BASE}, d AS (SELECT * FROM l WHERE deleted_at IS NULL AND latitude IS NOT NULL AND price > 0 AND construction_area_m2 > 0),
+m AS (SELECT t.id AS target_id, t.property_type, t.construction_area_m2 AS tb, t.land_area_m2 AS tl, k.id AS kid, k.price, k.construction_area_m2 AS kb, k.land_area_m2 AS kl, 2 * 6371000.0 * asin(sqrt(least(1e0, greatest(0e0, {_HALF})))) AS dist,
+  {_EQUAL("neighborhood")} AS nb, {_EQUAL("inegi_cve_ageb")} AS ag, {_EQUAL("municipality")} AS mu, {_RISE("t.construction_area_m2", "k.construction_area_m2", 0.7)} * 20
+  + CASE WHEN t.property_type = 'casa' AND t.land_area_m2 > 0 THEN CASE WHEN k.land_area_m2 > 0 THEN {_RISE("t.land_area_m2", "k.land_area_m2", 0.5)} ELSE 0e0 END * 15 ELSE 15e0 END + {_ROOMS} AS part FROM d t JOIN d k ON t.property_type = k.property_type AND t.id <> k.id),
+s AS (SELECT *, greatest(0e0, (1 - dist / 3000.0) * 25) + part + CASE WHEN nb THEN 10e0 ELSE 0e0 END + CASE WHEN ag THEN 7e0 ELSE 0e0 END AS score FROM m),
+c AS (SELECT target_id, count(*) FILTER (nb AND score >= 35) AS a, count(*) FILTER (ag AND score >= 35) AS b, count(*) FILTER (dist <= 1000 AND score >= 35) AS c, count(*) FILTER (dist <= 2000 AND score >= 35) AS d FROM s GROUP BY 1),
+st AS (SELECT target_id, CASE WHEN a >= 3 THEN '{comparables.TIERS[0][0]}' WHEN b >= 3 THEN '{comparables.TIERS[1][0]}' WHEN c >= 3 THEN '{comparables.TIERS[2][0]}' WHEN d >= 3 THEN '{comparables.TIERS[3][0]}' ELSE '{comparables.TIERS[4][0]}' END AS strategy FROM c),
+x AS (SELECT s.*, strategy, CASE WHEN property_type = 'casa' AND tl > 0 THEN CASE WHEN kl > 0 THEN kb + 0.5e0 * kl END ELSE kb END AS size, CASE WHEN property_type = 'casa' AND tl > 0 THEN tb + 0.5e0 * tl ELSE tb END AS wanted FROM s JOIN st ON st.target_id = s.target_id
+  WHERE CASE strategy WHEN '{comparables.TIERS[0][0]}' THEN nb AND score >= 35 WHEN '{comparables.TIERS[1][0]}' THEN ag AND score >= 35 WHEN '{comparables.TIERS[2][0]}' THEN dist <= 1000 AND score >= 35 WHEN '{comparables.TIERS[3][0]}' THEN dist <= 2000 AND score >= 35 ELSE mu END),
+y AS (SELECT *, price / size AS unit, exp(least(3e0, greatest(0e0, score / 50))) / (1 + dist / 1000) AS weight FROM x WHERE size > 0 AND wanted > 0),
+u AS (SELECT target_id, unit, sum(weight) AS w FROM y GROUP BY 1, 2), r AS (SELECT *, sum(w) OVER (PARTITION BY target_id ORDER BY unit ROWS UNBOUNDED PRECEDING) AS so_far, sum(w) OVER (PARTITION BY target_id) AS whole FROM u),
+q AS (SELECT target_id, min(unit) FILTER (so_far >= 0.25e0 * whole) AS p25, min(unit) FILTER (so_far >= 0.5e0 * whole) AS p50, min(unit) FILTER (so_far >= 0.75e0 * whole) AS p75 FROM r GROUP BY 1),
+f AS (SELECT target_id, min(strategy) AS strategy, count(*) AS n, avg(score) AS mean, min(wanted) AS wanted FROM y GROUP BY 1), g AS (SELECT f.*, q.* EXCLUDE (target_id), CASE WHEN p50 > 0 THEN (p75 - p25) / p50 END AS spread FROM f JOIN q ON q.target_id = f.target_id)
+SELECT target_id, strategy, n AS comparable_count, round(mean, 6) AS mean_similarity, round(p25, 6) AS p25, round(p50, 6) AS p50, round(p75, 6) AS p75, round(spread, 6) AS dispersion, round(p50 * wanted, 6) AS market_base,
+round(greatest(0e0, least(1e0, 0.35e0 * {_TIER_OF("strategy")} + 0.25e0 * least(n / 10e0, 1e0) + 0.2e0 * least(mean / 100, 1e0) + 0.2e0 * exp(-least(coalesce(spread, 2e0), 3e0)))), 6) AS market_strength FROM g""")
 def comparable_market(spark, sf_dir):
     df = sample.listings(spark, sf_dir).where("deleted_at is null and latitude is not null and price > 0 and construction_area_m2 > 0")
     return rounded(comparables.estimate(df, df), 6)
