@@ -128,7 +128,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_
     log_p = np.log((grams + 0.5) / (grams.sum(1, keepdims=True) + 0.5 * BUCKETS))
     uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(1, keepdims=True), 1)
     uses[:, ~uses.any(0)] = True
-    return {"langs": langs, "log_p": np.ascontiguousarray(log_p.T, np.float32), "uses": np.ascontiguousarray(uses.T)}
+    # What a language's own letters have on average: a text that fits far worse is of no language learned.
+    usual = (grams * log_p).sum(1) / np.maximum(grams.sum(1), 1)
+    return {"langs": langs, "log_p": np.ascontiguousarray(log_p.T, np.float32), "uses": np.ascontiguousarray(uses.T), "usual": usual}
 
 
 def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -180,11 +182,11 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, switch: float = SWITCH) -> n
     return out
 
 
-def label(texts: list[bytes], model: dict, with_spans: bool = False) -> list:
-    """lang_pred and score of each text, and with_spans the spans' starts, ends (in characters) and languages."""
+def label(texts: list[bytes], model: dict, with_spans: bool = False, with_fit: bool = False) -> list:
+    """lang_pred and score of each text, with_spans the spans' starts, ends (in characters) and languages, and with_fit the fit."""
     langs, size = model["langs"], len(texts)
     words = Words(texts)
-    pred, score = ["und"] * size, np.zeros(size)
+    pred, score, fit = ["und"] * size, np.zeros(size), np.full(size, np.nan)
     spans: list = [[[] for _ in range(size)] for _ in range(3)]
     if len(words.text) and langs:
         scores = np.add.reduceat(model["log_p"][words.bucket], words.word_at, axis=0)
@@ -201,6 +203,7 @@ def label(texts: list[bytes], model: dict, with_spans: bool = False) -> list:
         surer = 1 / np.exp(np.minimum(sums - sums[np.arange(size), top][:, None], 0)).sum(1)
         full = np.flatnonzero(np.diff(starts))
         score[full] = surer[full] * share[full, top[full]] / share[full].sum(1)
+        fit[full] = sums[full, top[full]] / np.maximum(share[full, top[full]], 1) - model["usual"][top[full]]
         for i in full.tolist():
             pred[i] = langs[top[i]]
         if with_spans:
@@ -211,15 +214,19 @@ def label(texts: list[bytes], model: dict, with_spans: bool = False) -> list:
                 spans[0][i].append(a - origin)
                 spans[1][i].append(b + 1 - origin)
                 spans[2][i].append(langs[x])
-    return [pred, score] + spans * with_spans
+    return [pred, score] + spans * with_spans + [fit] * with_fit
 
 
-def predict(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """The columns kept with lang_pred, score and, with_spans, span_start, span_end and span_lang."""
+def predict(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text", with_spans: bool = False, with_fit: bool = False) -> DataFrame:
+    """The columns kept with lang_pred, score, with_spans span_start, span_end and span_lang, and with_fit fit.
+
+    fit is how much likelier a letter of the language's words is than it is usual for the language, in nats: near 0 for
+    its texts, far below for what is in no language that was learned; NaN without a letter.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers of 4 bytes for each language
 
     def make():
-        return lambda texts: label(texts, sent.value, with_spans)
+        return lambda texts: label(texts, sent.value, with_spans, with_fit)
 
-    schema = "lang_pred string, score double" + ", span_start array<int>, span_end array<int>, span_lang array<string>" * with_spans
+    schema = "lang_pred string, score double" + ", span_start array<int>, span_end array<int>, span_lang array<string>" * with_spans + ", fit double" * with_fit
     return map_texts(docs, keep, text_col, schema, make)

@@ -83,6 +83,15 @@ def test_language_id(spark, tmp_path):
     assert out.columns == ["doc_id", "held_out", "lang_pred", "score"] and out.count() == len(rows)
 
 
+def test_fit_tells_unlearned_texts(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    r = random.Random(3)
+    odd = [(1, "".join(r.choice("bcdfghjklmnpqrstvwxz ") for _ in range(300))), (2, "Bugün hava çok güzel ve çocuklar bahçede oynuyor"), (3, text("en", 60, 77)), (4, "12 34"), (5, text("ru", 30, 9))]
+    got = {x.doc_id: x.fit for x in langid.predict(spark.createDataFrame(odd, "doc_id long, text string"), langid.train(docs), ["doc_id"], with_fit=True).collect()}
+    assert got[1] < -4 and got[2] < -4 and got[3] > -1 and got[5] > -1 and got[4] != got[4]
+
+
 def test_trees_learn_and_flatten():
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 5))

@@ -37,6 +37,7 @@ def folder(spark, tmp_path):
     rows = [(i, text("en", 80, i) + " " + prose(i, 60), "en") for i in range(20, 140)]
     rows += [(i, text("de", 80, i) + " " + prose(i, 60), "de") for i in range(140, 220)]
     rows += [(300 + i, rows[5][1], "en") for i in range(6)] + [(310 + i, f"{prose(i + 700, 50)}\n{passage}\n{prose(i + 800, 50)}", "en") for i in range(5)]
+    rows += [(500, "qxz wvk jjpq zzxw kqvx " * 20, None), (501, "Bugün hava çok güzel ve çocuklar bahçede oynuyor, sonra eve dönecekler. " * 4, None)]
     rows += [(400 + i, " ".join(["spam"] * (40 + i)), "en") for i in range(60)]
     rows += [(i, t, "en") for i, t in AWKWARD] + [(None, text("en", 90, 7000) + " " + prose(7000, 60), "en"), (None, rows[5][1], "en")]
     data = [(i, t, lang, "s", len(t or ""), 0.5, "x") for i, t, lang in rows]
@@ -57,7 +58,7 @@ def test_stage_by_stage(spark, folder):
         before, after = ({r.doc_id for r in d.select("doc_id").collect()} for d in (docs, out))
         assert after <= before
         if name == "language_id":
-            assert {1, 2, 3, 13} & after == set() and set(range(20, 220)) <= after
+            assert {1, 2, 3, 13, 500, 501} & after == set() and set(range(20, 220)) <= after
         if name == "quality_filter":
             assert set(range(20, 220)) <= after and not set(range(400, 460)) & after
         if name == "near_duplicates":
