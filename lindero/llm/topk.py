@@ -26,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,10 +105,8 @@ def sufficient(parts: np.ndarray, ids: np.ndarray, cutoff: int, last_id: int) ->
     return at[(total > cutoff) | (total == cutoff) & (ids[at] <= last_id)]
 
 
-def _lists(candidates: DataFrame, tile: dict, k: int, groups: int, first: bool = False) -> DataFrame:
+def _lists(candidates: DataFrame, sent: Broadcast, k: int, groups: int, first: bool = False) -> DataFrame:
     """query (its number in the tile), id, score: of each task phase 1's lists, or its best k candidates of those that reach the cutoffs."""
-    sent = candidates.sparkSession.sparkContext.broadcast(tile)  # TILE_BYTES of vectors, about, and a cutoff each
-
     def run(batches):
         held: dict[int, list] = {}
         for batch in batches:
@@ -193,11 +192,16 @@ def top_k(vectors: DataFrame, queries: F.Column, k: int = 10, id_col: str = "vec
         if known is None:
             continue
         # One more than k, since a query's own row is a candidate until the end.
-        tile = _with_cutoffs(tile, _top(_lists(rows.where("level = 0"), tile, k + 1, groups, first=True), k + 1), k + 1)
+        send = spark.sparkContext.broadcast  # TILE_BYTES of vectors, about, and a cutoff each
+        sent = send(tile)
+        tile = _with_cutoffs(tile, _top(_lists(rows.where("level = 0"), sent, k + 1, groups, first=True), k + 1), k + 1)
+        sent.destroy()
         lists = None
         for i in range(levels + 1):
-            found = _lists(rows.where(F.col("level") == i), tile, k + 1, groups)
+            sent = send(tile)
+            found = _lists(rows.where(F.col("level") == i), sent, k + 1, groups)
             lists = written_table(_top(found if lists is None else found.unionByName(lists), k + 1).drop("rank"))
+            sent.destroy()  # workers would hold it on
             if i < levels:
                 tile = _with_cutoffs(tile, lists, k + 1)
         results.append(written_table(_without_own(lists, spark.createDataFrame(known), k)))
