@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lindero.llm import bpe, convtrie, langid, licenses, media, packing, quality, simhash, suffixes, tokencount, topk, vectorcodes
+from lindero.llm import bpe, convtrie, langid, licenses, media, minhash, packing, quality, simhash, suffixes, tokencount, topk, vectorcodes
 from lindero.llm.common import held_out, table
 
 
@@ -56,6 +56,10 @@ def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -64,6 +68,6 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_media_jpeg, op3_token_counts, op4_simhash_neardup, op5_exact_topk, op6_quality_score, op7_pack_sequences, op8_suffix_repeats, op9_license_scan, op10_bpe_roundtrip, op12_conversation_trie, op13_vector_codes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_media_jpeg, op3_token_counts, op4_simhash_neardup, op5_exact_topk, op6_quality_score, op7_pack_sequences, op8_suffix_repeats, op9_license_scan, op10_bpe_roundtrip, op11_minhash_neardup, op12_conversation_trie, op13_vector_codes)}
 
-ORACLES: dict[str, str] = {"op5_exact_topk": topk.top_k_sql(), "op9_license_scan": licenses.scan_sql(), "op12_conversation_trie": convtrie.conversation_trie_sql(), "op13_vector_codes": vectorcodes.compress_sql()}
+ORACLES: dict[str, str] = {"op5_exact_topk": topk.top_k_sql(), "op9_license_scan": licenses.scan_sql(), "op11_minhash_neardup": minhash.near_duplicates_sql(), "op12_conversation_trie": convtrie.conversation_trie_sql(), "op13_vector_codes": vectorcodes.compress_sql()}

@@ -208,7 +208,7 @@ def close_pairs(met: DataFrame, least: tuple[int, int]) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _among(wanted: DataFrame) -> tuple[Callable[[F.Column], F.Column], Broadcast]:
+def among(wanted: DataFrame) -> tuple[Callable[[F.Column], F.Column], Broadcast]:
     """A test of ids by a bitmap of BITS hashes, which lets all wanted ids pass and few others, so that few texts are shuffled; and what it sends."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
     at = place(F.col("id")) + 1  # Spark's bitmaps count from 1
@@ -232,7 +232,7 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, tex
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     # One row of each representative brings its text; rows of equal ids and other texts go again by their sets.
     ids = written_table(rows.join(wanted, "rep").groupBy("rep", "whole").agg(F.struct(F.min("id").alias("id")).alias("i")).select("rep", "whole", "i.id"))
-    among, sent = _among(ids)
+    among, sent = among(ids)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(among(F.col("id")))
     texts = texts.join(ids.select(F.col("id").alias("__id")).distinct(), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
 
