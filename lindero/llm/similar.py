@@ -232,8 +232,8 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, tex
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     # One row of each representative brings its text; rows of equal ids and other texts go again by their sets.
     ids = written_table(rows.join(wanted, "rep").groupBy("rep", "whole").agg(F.struct(F.min("id").alias("id")).alias("i")).select("rep", "whole", "i.id"))
-    among, sent = among(ids)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(among(F.col("id")))
+    fits, sent = among(ids)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(fits(F.col("id")))
     texts = texts.join(ids.select(F.col("id").alias("__id")).distinct(), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
 
     def make():
