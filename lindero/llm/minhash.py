@@ -10,7 +10,8 @@ Equal sets are one from the start. Sets that meet are not paired up: in the firs
 other at most, the one of the best estimate among the hubs, one for each band. Linked sets get one label. The last
 round looks at all pairs of a band that still have different labels, in blocks of bounded size inside tasks,
 and each pair under the first band that it shares. So a large group of near copies has come together before,
-and no link is missed.
+and no link is missed. There, pairs just below 0.8, of which such a group has very many, go by a second look: two sets differ
+at least by the Manhattan distance of how many shingles they have in each of 256 cells.
 
 Nulls and edge cases: a text of fewer words than a shingle is one shingle; null and blank texts have none, link with nothing and are
 components of their own; shingles are told apart by XXH64, sets by XXH3-128; rows that repeat an id count as one document
@@ -40,6 +41,8 @@ BANDS, _WORDS = MINIMA // BAND, MINIMA * BITS // 64
 LEAST, DEVIATIONS = (4, 5), 6.0
 #: Rounds that confirm one pair of each set at most.
 HUB_ROUNDS = 3
+#: Cells whose shingles are counted, a byte each, and pairs whose counts are compared at a time.
+CELLS, _LOOKED = 256, 1 << 13
 #: Sets of a band that a task compares with as many others at a time; rows of a tile; shingles that are hashed at a time.
 CHUNK, _TILE, _HASHED = 1024, 32, 1 << 16
 
@@ -95,6 +98,11 @@ def bands(low: np.ndarray) -> np.ndarray:
     return out
 
 
+def cells(found: np.ndarray) -> bytes:
+    """How many shingles a set has in each cell, up to 255; that limit brings counts no further apart."""
+    return np.minimum(np.bincount((found >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """id, whole (equal for equal sets; null for an empty one), n, signature and bands."""
 
@@ -146,7 +154,7 @@ def _hub_pairs(now: DataFrame, turn: int, least: tuple[int, int]) -> DataFrame:
     return best.select(F.col("rep").alias("a"), "x.b", "x.label_a", "x.label_b")
 
 
-def _compare(at: int, side: np.ndarray, rep: np.ndarray, n: np.ndarray, label: np.ndarray, sign: np.ndarray, keys: np.ndarray, least: tuple[int, int]) -> list[np.ndarray]:
+def _compare(at: int, side: np.ndarray, rep: np.ndarray, n: np.ndarray, label: np.ndarray, sign: np.ndarray, keys: np.ndarray, cell: np.ndarray, least: tuple[int, int]) -> list[np.ndarray]:
     """Places (i, j) of the pairs of one block that may be similar: of different labels, and of different sides if it has two; a pair belongs to the first band that it shares."""
     order = np.lexsort((label, side))
     cut = int((side != side.max()).sum())  # of two sides, the rows of the first stand before it
@@ -160,20 +168,22 @@ def _compare(at: int, side: np.ndarray, rep: np.ndarray, n: np.ndarray, label: n
         if not cut:
             fits &= np.arange(a, a + len(mine))[:, None] < np.arange(a + 1, len(order))
         i, j = np.nonzero(fits)
-        for s in range(0, len(i), 1 << 16):
-            x, y = mine[i[s : s + (1 << 16)]], other[j[s : s + (1 << 16)]]
+        for s in range(0, len(i), _LOOKED):
+            x, y = mine[i[s : s + _LOOKED]], other[j[s : s + _LOOKED]]
             d = sign[x] ^ sign[y]
             d |= d >> np.uint64(2)
             d |= d >> np.uint64(1)
             ok = MINIMA - np.bitwise_count(d & low).sum(1) >= wanted
             x, y = x[ok], y[ok]
-            first = (keys[x] == keys[y]).argmax(1) == at
-            out.append(np.stack([x[first], y[first]]))
+            total = n[x] + n[y]
+            ok = sum(least) * (total - np.abs(cell[x] - cell[y]).sum(1)) >= 2 * least[0] * total  # they share half of the rest at most
+            ok &= (keys[x] == keys[y]).argmax(1) == at
+            out.append(np.stack([x[ok], y[ok]]))
     return out
 
 
 def _block_pairs(met: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """a, b, label_a and label_b of the sets of a key (key, at, size, rep, n, label, signature, bands) that have different labels and may be similar.
+    """a, b, label_a and label_b of the sets of a key (key, at, size, rep, n, label, signature, bands, cells) that have different labels and may be similar.
 
     The sets of a common key are dealt into chunks, and each pair of chunks is a block of its own.
     """
@@ -181,7 +191,7 @@ def _block_pairs(met: DataFrame, least: tuple[int, int]) -> DataFrame:
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
     dealt = met.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), chunks - 1))}).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
-    names = ("block", "key", "low", "high", "own", "at", "rep", "n", "label", "signature", "bands")
+    names = ("block", "key", "low", "high", "own", "at", "rep", "n", "label", "signature", "bands", "cells")
     # The block's hash stands for it; blocks that share one are told apart by key and chunks.
     ordered = dealt.withColumn("block", F.xxhash64("key", "low", "high")).select(*names).repartition("block").sortWithinPartitions("block", "key", "low", "high")
 
@@ -201,13 +211,14 @@ def _block_pairs(met: DataFrame, least: tuple[int, int]) -> DataFrame:
                 continue
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
             sign, keys = (batch.column(i).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1) for i in (9, 10))
+            cell = np.frombuffer(b"".join(batch.column(11).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
             names_ = np.stack([c.astype(np.int64) for c in cols[:4]], 1)
             starts = [0, *(1 + np.flatnonzero((names_[1:] != names_[:-1]).any(1))).tolist(), batch.num_rows]
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if name is not None and (names_[a] != name).any():
                     yield from done()
                 name = names_[a]
-                held.append(tuple(c[a:b] for c in (cols[5], cols[4], cols[6], cols[7], cols[8], sign, keys)))
+                held.append(tuple(c[a:b] for c in (cols[5], cols[4], cols[6], cols[7], cols[8], sign, keys, cell)))
         if held:
             yield from done()
 
@@ -216,25 +227,26 @@ def _block_pairs(met: DataFrame, least: tuple[int, int]) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Edges (fp, hub) between labels whose sets (rep, shingles) are similar."""
+    sets = sets.select("rep", "shingles")
     both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     enough = sum(least) * F.size(F.array_intersect("left", "right")) >= least[0] * (F.size("left") + F.size("right"))
     return both.where(enough).select(F.col("label_a").alias("fp"), F.col("label_b").alias("hub")).distinct()
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """rep and shingles of the sets wanted (rep, whole, id), read again from one text each."""
+    """rep, shingles and cells of the sets wanted (rep, whole, id), read again from one text each."""
     fits, sent = among(wanted)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(fits(F.col("id")))
 
     def make():
         def run(found):
             sets = [shingles(t, shingle) for t in found]
-            return [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.view(np.int64) for s in sets]]
+            return [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.view(np.int64) for s in sets], [cells(s) for s in sets]]
 
         return run
 
-    sets = map_texts(texts, [], "text", "whole binary, shingles array<long>", make)
-    out = written_table(sets.join(wanted.select("rep", "whole"), "whole").dropDuplicates(["rep"]).select("rep", "shingles"))
+    sets = map_texts(texts, [], "text", "whole binary, shingles array<long>, cells binary", make)
+    out = written_table(sets.join(wanted.select("rep", "whole"), "whole").dropDuplicates(["rep"]).select("rep", "shingles", "cells"))
     sent.destroy()
     return out
 
@@ -255,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         now = written_table(_mixed(held.select("key", "at", "rep"), state))
         drop_tables(held)
         held = now
-        pairs = _hub_pairs(now, turn, least) if turn < HUB_ROUNDS else _block_pairs(now.join(reps.select("rep", "bands"), "rep"), least)
+        pairs = _hub_pairs(now, turn, least) if turn < HUB_ROUNDS else _block_pairs(now.join(reps.select("rep", "bands"), "rep").join(sets.select("rep", "cells"), "rep"), least)
         joined = components(_confirmed(written_table(pairs), sets, least)).toDF("label", "to")
         after = written_table(state.join(joined, "label", "left").select("rep", "n", F.coalesce("to", "label").alias("label"), "signature"))
         drop_tables(state)
