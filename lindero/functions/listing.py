@@ -156,15 +156,20 @@ def _close(a: Column, b: Column, tolerance: float) -> Column:
 MATCH_TEXTS = ["street", "neighborhood", "municipality", "property_type"]
 
 
+#: Weights of equal texts, weights and tolerances of close numbers, and the weight of a near place or an equal fingerprint.
+TEXT_WEIGHTS = {"municipality": 0.12, "neighborhood": 0.12, "street": 0.10, "property_type": 0.10}
+NUMBER_WEIGHTS = {"price": (0.20, 0.12), "land_area_m2": (0.12, 0.10), "construction_area_m2": (0.12, 0.10), "bedrooms": (0.07, 0.01), "bathrooms": (0.07, 0.01)}
+PLACE_WEIGHT = 0.08
+
+
 def duplicate_score(left: str, right: str) -> Column:
     """Likeness of two listings, given by the aliases of their rows, from 0 to 1. The rows carry their match keys, which are made once a row and not once a pair."""
     a, b = (lambda n: c(f"{left}.{n}")), (lambda n: c(f"{right}.{n}"))
     same = lambda n: (a(f"k_{n}") != "") & (a(f"k_{n}") == b(f"k_{n}"))
     near = no(geo.haversine(a("latitude"), a("longitude"), b("latitude"), b("longitude")) <= 75)
-    #: Weights of texts; weights and tolerances of numbers; the weight of the place.
-    tests = [(same("municipality"), 0.12), (same("neighborhood"), 0.12), (same("street"), 0.10), (same("property_type"), 0.10)]
-    tests += [(_close(a(n), b(n), t), w) for n, w, t in (("price", 0.20, 0.12), ("land_area_m2", 0.12, 0.10), ("construction_area_m2", 0.12, 0.10), ("bedrooms", 0.07, 0.01), ("bathrooms", 0.07, 0.01))]
-    tests += [(near | no((a("dedupe_fingerprint") != "") & (a("dedupe_fingerprint") == b("dedupe_fingerprint"))), 0.08)]
+    tests = [(same(n), w) for n, w in TEXT_WEIGHTS.items()]
+    tests += [(_close(a(n), b(n), t), w) for n, (w, t) in NUMBER_WEIGHTS.items()]
+    tests += [(near | no((a("dedupe_fingerprint") != "") & (a("dedupe_fingerprint") == b("dedupe_fingerprint"))), PLACE_WEIGHT)]
     total = F.lit(0.0)
     for test, weight in tests:
         total = total + F.when(test, weight).otherwise(0.0)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lindero.functions import listing
 from lindero.operators.quantiles import join_groups, quantiles, running_sums
+from lindero.operators.stored import cut
 
 
 def with_errors(df: DataFrame) -> DataFrame:
@@ -112,16 +115,16 @@ ERRORS = {"absolute_percentage_error": "percentage_error", "absolute_error": "ab
 
 
 def error_percentiles(df: DataFrame, *scopes: str) -> DataFrame:
-    """scope, value, metric, n and p50 to p95 of each error, over all rows and by each scope."""
+    """scope, value, metric, n and p50 to p95 of each error, over all rows and by each scope, from one copy of the rows for each scope."""
     e, points = with_errors(df), (0.5, 0.68, 0.8, 0.9, 0.95)
-    parts = []
-    for scope in (None, *scopes):
-        keys = [scope] if scope else []
-        q = quantiles(e, {f"{m}_{round(100 * p)}": (c, p) for m, c in ERRORS.items() for p in points}, *keys)
-        rows = join_groups(e.groupBy(*keys).agg(*[F.count(c).alias(f"{m}_n") for m, c in ERRORS.items()]), q, *keys)
-        each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_n").alias("n"), *[F.col(f"{m}_{round(100 * p)}").alias(f"p{round(100 * p)}") for p in points]) for m in ERRORS])).alias("x")
-        parts.append(rows.select(F.lit(scope or "global").alias("scope"), (F.col(scope).cast("string") if scope else F.lit("all")).alias("value"), each).select("scope", "value", "x.*"))
-    return reduce(DataFrame.unionByName, parts)
+    scope = lambda name, value: F.struct(F.lit(name).alias("scope"), value.cast("string").alias("value"))
+    all_ = F.array(scope("global", F.lit("all")), *[scope(s, F.col(s)) for s in scopes])
+    spread = e.select(F.explode(all_).alias("__s"), *ERRORS.values()).select("__s.*", *ERRORS.values())
+    names = lambda m: [f"{m}_{round(100 * p)}" for p in points]
+    q = quantiles(spread, {n: (c, p) for m, c in ERRORS.items() for n, p in zip(names(m), points, strict=True)}, "scope", "value")
+    rows = join_groups(spread.groupBy("scope", "value").agg(*[F.count(c).alias(f"{m}_n") for m, c in ERRORS.items()]), q, "scope", "value")
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_n").alias("n"), *[F.col(n).alias(f"p{round(100 * p)}") for n, p in zip(names(m), points, strict=True)]) for m in ERRORS])
+    return rows.select("scope", "value", F.explode(each).alias("x")).select("scope", "value", "x.*")
 
 
 def calibration(df: DataFrame, bins: int = 6) -> DataFrame:
@@ -191,25 +194,59 @@ def outliers(df: DataFrame, error_flags: list[str]) -> DataFrame:
     return join_groups(e, cuts).withColumn("outlier_type", kind).where("outlier_type is not null").drop("__low", "__high", "__error")
 
 
-def bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """metric, mean, low and high: percentile intervals of mean errors and shares over resamples, in which each row counts Poisson(1) times.
+def resampled(df: DataFrame, columns: list[str], replicates: int, seed: int) -> DataFrame:
+    """replicate, draws and, for each column, the sum over a resample of all rows, of which each replicate draws exactly as many as there are.
 
-    A row draws from its own hash, so nothing is joined or gathered, and a task that runs again draws alike. A
-    replicate's sums come together before the shuffle.
+    The draws are split over the parts, and in a part over its batches, by binomial draws of what is left, which makes them
+    those of a multinomial; in a batch each draw picks a row. A part's numbers come from its own seed, so a task that runs
+    again draws alike, and only the parts' sizes go through the driver. A task gives out a row for each replicate.
     """
-    e = with_errors(df).select("id", "absolute_error", "percentage_error")
-    u = lambda r: (F.pmod(F.xxhash64("id", F.lit(seed), r), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    #: Cumulative probabilities of 0 to 6 draws.
-    steps, p, total = [], 0.36787944117144233, 0.0
-    for k in range(7):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    drawn = e.select("absolute_error", "percentage_error", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: sum((F.when(u(r) > s, 1).otherwise(0) for s in steps), F.lit(0)))).alias("replicate", "times")).where("times > 0")
-    mean = lambda c: F.sum(c * F.col("times")) / F.sum("times")
-    share = lambda n: mean((F.col("percentage_error") <= n).cast("double")) * 100
-    figures = {"mae": mean(F.col("absolute_error")), "mape": mean(F.col("percentage_error")), "within_20_pct": share(20), "within_30_pct": share(30)}
-    each = drawn.groupBy("replicate").agg(*[v.alias(n) for n, v in figures.items()])
-    long = each.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in figures])).alias("x")).select("x.*")
+    kept = cut(df.select(*[F.col(c).cast("double").alias(c) for c in columns])).withColumn("part", F.spark_partition_id())
+    sizes = {r.part: r.n for r in kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # two numbers a part
+    names = ["replicate", "draws", *columns]
+
+    def share(part: int) -> np.ndarray:
+        """The draws of a part, by splits of the parts in halves from all of them down to it."""
+        parts = sorted(sizes)
+        draws, low, high = np.full(replicates, sum(sizes.values()), np.int64), 0, len(parts)
+        while high - low > 1:
+            middle = (low + high) // 2
+            left, right = (sum(sizes[p] for p in parts[a:b]) for a, b in ((low, middle), (middle, high)))
+            first = np.random.default_rng([seed, 0, low, high]).binomial(draws, left / (left + right))
+            if parts.index(part) < middle:
+                draws, high = first, middle
+            else:
+                draws, low = draws - first, middle
+        return draws
+
+    def run(batches):
+        left = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if left is None:
+                part = batch.column(len(columns))[0].as_py()
+                left, rows, rng = share(part), sizes[part], np.random.default_rng([seed, 1, part])
+                sums = np.zeros((replicates, len(columns)))
+                drawn = left.copy()
+            values = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))], 1)
+            taken = rng.binomial(left, min(1.0, len(values) / rows))
+            left, rows = left - taken, rows - len(values)
+            for r in np.flatnonzero(taken).tolist():
+                sums[r] += np.bincount(rng.integers(0, len(values), taken[r]), minlength=len(values)) @ values
+        if left is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, replicates + 1)), pa.array(drawn), *[pa.array(sums[:, i]) for i in range(len(columns))]], names=names)
+
+    out = kept.mapInArrow(run, ", ".join(["replicate long", "draws long", *[f"`{c}` double" for c in columns]]))
+    return out.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
+def bootstrap(df: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """metric, mean, low and high: percentile intervals of mean errors and shares over resamples of as many rows."""
+    e = with_errors(df)
+    share = lambda n: (F.col("percentage_error") <= n).cast("double") * 100
+    figures = {"mae": F.col("absolute_error"), "mape": F.col("percentage_error"), "within_20_pct": share(20), "within_30_pct": share(30)}
+    each = resampled(e.select(*[v.alias(m) for m, v in figures.items()]), list(figures), replicates, seed)
+    long = each.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(m) / F.col("draws")).alias("v")) for m in figures])).alias("x")).select("x.*")
     q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))  # over the replicates
     return long.groupBy("metric").agg(F.avg("v").alias("mean"), q.alias("q")).select("metric", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

@@ -203,10 +203,7 @@ def geocoder_caps(spark, sf_dir):
     )
 
 
-_AREA = "CAST(floor((latitude - 18.5) * 20) AS INTEGER)"
-
-
-@query(f"""{_BASE}, u AS (SELECT * FROM l WHERE coalesce(coordinate_quality IN ('high', 'medium'), FALSE) OR coalesce(latitude <> 0 AND longitude <> 0, FALSE)), a AS (SELECT id, CASE WHEN latitude >= 18.5 AND latitude <= 18.9 THEN least({_AREA}, 7) END AS area_id FROM u),
+@query(f"""{_BASE}, u AS (SELECT * FROM l WHERE coalesce(coordinate_quality IN ('high', 'medium'), FALSE) OR coalesce(latitude <> 0 AND longitude <> 0, FALSE)), a AS (SELECT u.id, min(i) AS area_id FROM u LEFT JOIN (SELECT unnest(range(8)) AS i) r ON latitude BETWEEN 18.5e0 + i / 20e0 - 1e-9 AND 18.5e0 + (i + 1) / 20e0 - 1e-9 GROUP BY 1),
 n AS (SELECT u.id, count(*) FILTER (d <= 500) AS n500, count(*) FILTER (d <= 1000) AS n1000 FROM u LEFT JOIN (SELECT t.id AS tid, {_distance('t', 'pl')} AS d FROM u t, pl) x ON x.tid = u.id GROUP BY 1)
 SELECT a.id, CAST(a.area_id AS INTEGER) AS area_id, CASE WHEN a.area_id IS NOT NULL THEN (1000.0 + 10 * a.area_id) / (2 + a.area_id) END AS density, n500 AS establishments_500m, n1000 AS establishments_1000m FROM a JOIN n ON n.id = a.id""")
 def enriched_listings(spark, sf_dir):
@@ -221,6 +218,35 @@ def enriched_listings(spark, sf_dir):
     return got.select("id", "area_id", c("population_density").alias("density"), "establishments_500m", "establishments_1000m")
 
 
+#: Areas of four layers, large and small, some with a hole, as boxes; n and s are the nation and supplier tables.
+_AREAS = """SELECT 'ageb' AS layer, n_nationkey AS area_id, -101e0 AS west, 18.5e0 + n_nationkey / 20e0 - 1e-9 AS south, -97e0 AS east, 18.55e0 + n_nationkey / 20e0 - 1e-9 AS north, -99.3003e0 AS hole_west, 18.5101e0 + n_nationkey / 20e0 AS hole_south, -99.2003e0 AS hole_east, 18.5301e0 + n_nationkey / 20e0 AS hole_north FROM n WHERE n_nationkey < 8
+UNION ALL SELECT 'municipality', n_nationkey, -101e0 + n_nationkey * 1.75e0, 18e0, -99.2501e0 + n_nationkey * 2e0, 19e0, NULL, NULL, NULL, NULL FROM n WHERE n_nationkey < 2
+UNION ALL SELECT 'locality', n_nationkey, -99.50005e0 + n_nationkey * 0.02e0, 18.50005e0 + n_nationkey * 0.016e0, -99.45005e0 + n_nationkey * 0.02e0, 18.58005e0 + n_nationkey * 0.016e0, NULL, NULL, NULL, NULL FROM n
+UNION ALL SELECT 'block', s_suppkey, -99.50205e0 + (s_suppkey * 71 % 500) / 1000e0, 18.49805e0 + (s_suppkey * 53 % 400) / 1000e0, -99.49805e0 + (s_suppkey * 71 % 500) / 1000e0, 18.50205e0 + (s_suppkey * 53 % 400) / 1000e0, NULL, NULL, NULL, NULL FROM s"""
+_GEOCODED = "SELECT *, CASE WHEN id % 2 = 0 THEN 18.5e0 + (id % 400) / 1000e0 END AS geocode_latitude, CASE WHEN id % 2 = 0 THEN -99.5e0 + (id % 500) / 1000e0 END AS geocode_longitude, CASE id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS geocode_usability"
+_IN_LAYER = lambda layer: f"min(area_id) FILTER (layer = '{layer}')"
+
+
+@query(f"""{_BASE}, n AS (SELECT * FROM nation), s AS (SELECT * FROM supplier), areas AS ({_AREAS}), g AS ({_GEOCODED} FROM l), q AS (SELECT id, coalesce(coordinate_quality, geocode_usability) AS quality, coalesce(latitude, geocode_latitude) AS latitude, coalesce(longitude, geocode_longitude) AS longitude FROM g),
+u AS (SELECT * FROM q WHERE quality IN ('high', 'medium') AND latitude IS NOT NULL AND longitude IS NOT NULL),
+m AS (SELECT u.id, {_IN_LAYER('ageb')} AS ageb, {_IN_LAYER('municipality')} AS municipality, {_IN_LAYER('locality')} AS locality, {_IN_LAYER('block')} AS block FROM u JOIN areas ON latitude BETWEEN south AND north AND longitude BETWEEN west AND east
+  AND NOT coalesce(latitude > hole_south AND latitude < hole_north AND longitude > hole_west AND longitude < hole_east, FALSE) GROUP BY 1),
+c AS (SELECT u.id, count(*) FILTER (d <= 500) AS a, count(*) FILTER (d <= 1000) AS b, count(*) FILTER (d <= 1000 AND activity LIKE '46%') AS r FROM u JOIN (SELECT t.id AS tid, activity, {_distance('t', 'pl')} AS d FROM u t, pl) x ON x.tid = u.id GROUP BY 1)
+SELECT g.id, m.ageb, CASE WHEN m.ageb IS NOT NULL THEN m.municipality END AS municipality, CASE WHEN m.ageb IS NOT NULL THEN m.locality END AS locality, CASE WHEN m.ageb IS NOT NULL THEN m.block END AS block,
+CASE WHEN m.ageb IS NULL THEN CASE WHEN u.id IS NOT NULL THEN 'unusable' WHEN q.quality = 'high' THEN 'exact_coordinate' WHEN q.quality = 'medium' THEN 'approximate_coordinate' ELSE 'unusable' END WHEN q.quality = 'high' THEN 'exact_coordinate' ELSE 'approximate_coordinate' END AS ageb_assignment_quality,
+CASE WHEN m.ageb IS NOT NULL THEN (1000e0 + 10 * m.ageb) / 2 END AS population_density, c.a AS establishments_500m, c.b AS establishments_1000m, c.r AS retail_1000m FROM g JOIN q ON q.id = g.id LEFT JOIN u ON u.id = g.id LEFT JOIN m ON m.id = g.id LEFT JOIN c ON c.id = g.id""")
+def enriched_by_layers(spark, sf_dir):
+    boxes = spark.sql(_AREAS.replace("FROM n", "FROM {n}").replace("FROM s", "FROM {s}"), n=_read(spark, sf_dir, "nation"), s=_read(spark, sf_dir, "supplier"))
+    ring = lambda w, s, e, n: F.array(*[F.struct(c(x).alias("x"), c(y).alias("y")) for x, y in ((w, s), (e, s), (e, n), (w, n), (w, s))])
+    whole, hole = ring("west", "south", "east", "north"), ring("hole_west", "hole_south", "hole_east", "hole_north")
+    areas = boxes.select("layer", "area_id", F.when(c("hole_west").isNull(), F.array(whole)).otherwise(F.array(whole, hole)).alias("rings"))
+    census = areas.where("layer = 'ageb'").select("area_id", (1000.0 + 10 * c("area_id")).alias("population"), (300.0 + c("area_id")).alias("houses"), F.lit(2.0).alias("area_km2"))
+    rows = spark.sql(f"{_GEOCODED} FROM {{l}}", l=sample.listings(spark, sf_dir).select("id", "latitude", "longitude", "coordinate_quality"))
+    layers = {n: areas.where(c("layer") == n) for n in ("ageb", "municipality", "locality", "block")}
+    got = pipelines.enrich_layers(rows, layers, census, sample.places(spark, sf_dir), {"establishments": "", "retail": "46"})
+    return got.select("id", *layers, "ageb_assignment_quality", "population_density", "establishments_500m", "establishments_1000m", "retail_1000m")
+
+
 @query(f"""{_BASE}, g AS (SELECT *, lower(trim(municipality)) || '|' || coalesce(lower(trim(neighborhood)), '') || '|' || property_type || '|' || coalesce(printf('%.2f', price), '') || '|' || coalesce(printf('%.2f', construction_area_m2), '') || '|' || coalesce(printf('%.2f', land_area_m2), '') AS k FROM l),
 t AS ({ORACLES["training_readiness"]}), w AS (SELECT g.id, k, source, source_id FROM g JOIN t ON t.id = g.id WHERE readiness IN ('A', 'B', 'C') AND g.id % 10 <> 0)
 SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY k ORDER BY source, source_id, id) AS r FROM w) WHERE r = 1""")

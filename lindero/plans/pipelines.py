@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lindero.functions import listing, text
-from lindero.operators import spatial, windows
+from lindero.operators import cover, spatial, windows
 from lindero.sources import pages
 
 
@@ -27,6 +27,26 @@ def enrich(rows: DataFrame, polygons: DataFrame, census: DataFrame, places: Data
     return usable.join(area, key).join(rates, "area_id", "left").join(counts, key)
 
 
+def enrich_layers(rows: DataFrame, layers: dict[str, DataFrame], census: DataFrame, places: DataFrame, categories: dict[str, str], key: str = "id", radii: tuple[int, ...] = (500, 1000)) -> DataFrame:
+    """All rows with their area in each layer, its census figures and counts of places.
+
+    Only rows of high or medium quality are placed, by their own coordinates or else the geocoder's, and their quality is their own
+    or else the geocoder's. The first layer decides: where none of its areas covers a row, the others and the census tell nothing.
+    layers: area_id and rings by name; census: area_id of the first layer, population, houses, area_km2.
+    """
+    quality = F.coalesce("coordinate_quality", "geocode_usability")
+    placed = rows.select(key, quality.alias("quality"), F.coalesce("latitude", "geocode_latitude").alias("latitude"), F.coalesce("longitude", "geocode_longitude").alias("longitude"))
+    usable = placed.where("quality in ('high', 'medium') and latitude is not null and longitude is not null")
+    first, *others = layers
+    found = cover.layers_of(usable, layers, key).select(key, first, *[F.when(F.col(first).isNotNull(), F.col(n)).alias(n) for n in others])
+    rates = census.select(F.col("area_id").alias(first), F.try_divide("population", "area_km2").alias("population_density"), F.try_divide("houses", "area_km2").alias("housing_density"))
+    counts = spatial.radius_counts(usable, places, key, categories, radii)
+    told = usable.select(key, F.lit(True).alias("__usable")).join(found, key).join(rates, first, "left").join(counts, key)
+    exact = F.when(quality == "high", "exact_coordinate").when(quality == "medium", "approximate_coordinate").otherwise("unusable")
+    assigned = F.when(F.col("__usable").isNotNull() & F.col(first).isNull(), "unusable").otherwise(exact)
+    return rows.drop(*layers).join(told, key, "left").withColumn("ageb_assignment_quality", assigned).drop("__usable")
+
+
 def training_set(rows: DataFrame) -> DataFrame:
     """Graded listings without error flags, one for each duplicate group."""
     graded = rows.withColumns({

@@ -416,10 +416,15 @@ def numbered_slugs(spark, sf_dir):
     return windows.numbered_slugs(df, "slug", ["p_partkey"]).select(F.col("p_partkey").alias("id"), "unique_slug")
 
 
-@query(f"{_BASE}, f AS (SELECT dedupe_fingerprint AS g, CAST(CAST('0x' || substr(md5(dedupe_fingerprint), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM l) SELECT fold, count(*) AS n, count(DISTINCT g) AS groups FROM f GROUP BY 1")
+_FOLD_OF = "list_position(loads, list_min(loads))"
+
+
+@query(f"""WITH RECURSIVE l AS ({sample.LISTINGS}), g AS (SELECT dedupe_fingerprint AS g, count(*) AS n FROM l GROUP BY 1), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, substr(md5(g), 1, 12), g) AS k FROM g),
+f(k, fold, loads) AS (SELECT 0::BIGINT, 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[] UNION ALL SELECT o.k, {_FOLD_OF}::BIGINT, list_transform(loads, lambda x, i: x + CASE WHEN i = {_FOLD_OF} THEN n ELSE 0 END) FROM f JOIN o ON o.k = f.k + 1)
+SELECT dedupe_fingerprint, CAST(fold - 1 AS INTEGER) AS fold, count(*) AS n FROM l JOIN o ON o.g = dedupe_fingerprint JOIN f ON f.k = o.k GROUP BY ALL""")
 def group_folds(spark, sf_dir):
     df = windows.group_folds(sample.listings(spark, sf_dir), F.col("dedupe_fingerprint"))
-    return df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dedupe_fingerprint").alias("groups"))
+    return df.groupBy("dedupe_fingerprint", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_BASE}, r AS (SELECT *, row_number() OVER (PARTITION BY property_type ORDER BY md5('7:' || CAST(id AS VARCHAR)), id) AS k FROM l) SELECT id, property_type FROM r WHERE k <= 50")

@@ -84,7 +84,7 @@ def test_points_in_polygons(spark):
     areas = spark.createDataFrame([(1, star), (2, square)], "area_id int, ring array<struct<x:double,y:double>>")
     points = [(1, 1.0, 1.0, 1), (2, 3.0, 2.0, None), (3, 4.0, 4.0, 1), (4, 5.0, 5.0, 2), (5, 9.0, 9.0, None), (6, 0.0, 2.0, 1), (7, 1.0, 2.0, 1), (8, None, 1.0, None)]
     df = spark.createDataFrame(points, "id int, latitude double, longitude double, want int")
-    got = {r.id: r.area_id for r in spatial.point_in_polygon(df, areas, "id", 1.0).collect()}
+    got = {r.id: r.area_id for r in spatial.point_in_polygon(df, areas, "id").collect()}
     assert got == {i: w for i, _, _, w in points}
 
 
@@ -104,17 +104,20 @@ def test_cross_source_pairs_lose_nothing(spark):
     def close(a, b, t):
         return a is not None and b is not None and (a == b or abs(a - b) / max(abs(a), abs(b), 1) <= t)
 
-    want = set()
+    want = {}
     for a in rows:
         for b in rows:
             if a[1] < b[1]:
                 s = sum(w for k, w in ((2, 0.12), (3, 0.12), (4, 0.10), (5, 0.10)) if norm(a[k]) and norm(a[k]) == norm(b[k]))
                 s += sum(w for k, w, t in ((6, 0.20, 0.12), (7, 0.12, 0.10), (8, 0.12, 0.10), (9, 0.07, 0.01), (10, 0.07, 0.01)) if close(a[k], b[k], t))
                 s += 0.08 if haversine(a[11], a[12], b[11], b[12]) <= 75 or (a[13] and a[13] == b[13]) else 0
-                if s / 1.1 >= 0.62 + 1e-9:
-                    want.add((a[0], b[0]))
-    got = {(r.left_id, r.right_id) for r in spatial.cross_source_pairs(df).where("score > 0.62 + 1e-9").collect()}
-    assert got == want and len(want) > 50
+                want[a[0], b[0]] = s / 1.1
+    for least in (0.25, 0.45, 0.62, 0.8):
+        got = {(r.left_id, r.right_id): r.score for r in spatial.cross_source_pairs(df, least).where(f"score > {least} + 1e-9").collect()}
+        assert got.keys() == {k for k, v in want.items() if v >= least + 1e-9} and len(got) > 20
+        assert all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+    with pytest.raises(ValueError, match="agree in nothing"):
+        spatial.cross_source_pairs(df, 0.2)
 
 
 def test_radius_and_neighbours(spark):

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lindero.functions import listing, text
-from lindero.operators import evaluation, metrics, quantiles, scopes, upsert, windows
-from lindero.plans import pipelines
+from lindero.operators import comparables, evaluation, metrics, quantiles, scopes, upsert, windows
+from lindero.plans import pipelines, sample
 from lindero.sources import portals
 from lindero.streaming import ingest
 
@@ -81,8 +81,57 @@ def test_ablation_and_left_out_groups(spark, priced):
 def test_permutation_importance(spark, priced):
     model = evaluation.fit_model(priced, ["size"], ["property_type"], "random_forest")
     error = lambda rows: metrics.errors(evaluation.predict(model, rows).withColumn("actual_price", F.col("price"))).select("mae")
-    got = {r.feature: r.importance for r in evaluation.permutation_importance(error, priced.withColumn("noise", F.lit(1.0)), ["size", "property_type", "noise"], "id").collect()}
-    assert got["size"] > 0 and got["property_type"] > 0 and got["noise"] == 0
+    got = {r.feature: r for r in evaluation.permutation_importance(error, priced.withColumn("noise", F.lit(1.0)), ["size", "property_type", "noise"], repeats=2).collect()}
+    assert got["size"].importance > 0 and got["property_type"].importance > 0 and abs(got["noise"].importance) + got["noise"].spread < 1e-6
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 10, 1000, 1023])
+def test_permuted_numbers_are_all_numbers(spark, n):
+    rows = spark.range(n).select("id", *[evaluation.permuted(F.col("id"), n, seed).alias(f"p{seed}") for seed in (1, 2)]).collect()
+    for c in ("p1", "p2"):
+        assert sorted(r[c] for r in rows) == list(range(n))
+    if n >= 1000:
+        assert sum(r.p1 == r.id for r in rows) < 10 and sum(r.p1 == r.p2 for r in rows) < 10
+        assert abs(np.corrcoef([r.id for r in rows], [r.p1 for r in rows])[0, 1]) < 0.15
+
+
+def test_rows_are_numbered_over_parts(spark):
+    df, n = evaluation.numbered(spark.range(0, 1000, 1, 7).where("id % 3 <> 0"))
+    assert n == 666 and sorted(r["__row"] for r in df.collect()) == list(range(666))
+
+
+def test_resamples_draw_as_many_rows_as_there_are(spark):
+    df = spark.range(0, 5000, 1, 6).where("id < 1200 or id > 3000").selectExpr("double(id) as x", "1.0d as one")
+    rows = metrics.resampled(df, ["x", "one"], 200, 7).collect()
+    n = df.count()
+    assert sorted(r.replicate for r in rows) == list(range(1, 201)) and all(r.draws == n == r.one for r in rows)
+    values = np.array([r.x for r in df.collect()])
+    means = np.array([r.x / n for r in rows])
+    assert abs(means.mean() - values.mean()) < 5 * values.std() / np.sqrt(n * 200) and 0.8 < means.std() / (values.std() / np.sqrt(n)) < 1.25
+    assert [tuple(r) for r in sorted(rows)] == [tuple(r) for r in sorted(metrics.resampled(df, ["x", "one"], 200, 7).collect())]
+
+
+def test_folds_are_even_and_keep_groups_whole(spark):
+    r = random.Random(3)
+    sizes = {f"g{i}": r.choice([1, 1, 1, 2, 2, 5, 17, 40]) for i in range(300)} | {None: 9, "": 3}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g string").repartition(4)
+    rows = windows.group_folds(df, F.col("g"), 4).collect()
+    of = {}
+    for x in rows:
+        of.setdefault(x.g, set()).add(x.fold)
+    assert len(rows) == sum(sizes.values()) and all(len(f) == 1 for f in of.values()) and set(of) == set(sizes)
+    loads = [sum(x.fold == f for x in rows) for f in range(4)]
+    assert max(loads) - min(loads) <= 1
+    for trial in range(200):
+        sizes = [(s, r.randint(1, r.choice([1, 3, 40]))) for s in r.sample(range(1, r.choice([4, 30, 500])), r.randint(1, 3))]
+        folds, loads = r.randint(1, 6), None
+        loads, runs = [0] * folds, windows.deal_out(sizes, folds)
+        for size, many in sorted(sizes, reverse=True):
+            for at in range(many):
+                want = min(range(folds), key=lambda f: (loads[f], f))
+                start, turn = [x for x in runs[size] if x[0] <= at][-1]
+                assert turn[(at - start) % len(turn)] == want
+                loads[want] += size
 
 
 def test_models_are_kept(spark, priced, tmp_path):
@@ -188,3 +237,15 @@ def test_scopes(spark):
     df = spark.createDataFrame([(1, "a", None, None, None, "s"), (2, None, None, None, None, "s"), (3, None, "n", "m", None, "t")], "id int, address_text string, neighborhood string, municipality string, state string, source string")
     assert [r.id for r in scopes.to_geocode(df).collect()] == [1, 3] and [r.id for r in scopes.to_geocode(df, "t", "m", 5).collect()] == [3]
     assert [r.fold for r in windows.group_folds(spark.createDataFrame([(None,)], "g string"), F.col("g")).collect()] == [0]
+
+
+def test_comparables_of_large_keys_come_in_blocks(spark, monkeypatch):
+    """Keys that are dealt into many chunks and parts give what whole keys give; each target's tier is the first that has enough."""
+    df = sample.listings(spark, "/root/testdata/sf0.001").where("price > 0 and construction_area_m2 > 0 and latitude is not null and id < 3000")
+    df = df.withColumn("price", F.when(F.col("id") % 3 == 0, 1e6).otherwise(F.col("price"))).withColumn("construction_area_m2", F.when(F.col("id") % 3 == 0, 100.0).otherwise(F.col("construction_area_m2")))  # equal unit prices
+    rows = lambda: {r.target_id: (r.strategy, r.comparable_count, *[None if x is None else round(x, 6) for x in (r.mean_similarity, r.p25, r.p50, r.p75)]) for r in comparables.estimate(df, df).collect()}
+    whole = rows()
+    for name, value in (("CHUNK", 11), ("TARGETS", 5), ("_TILE", 3)):
+        monkeypatch.setattr(comparables, name, value)
+    assert rows() == whole and len(whole) > 300 and len({v[0] for v in whole.values()}) > 1
+    assert comparables.estimate(df.where("false"), df).count() == 0 == comparables.estimate(df, df.where("false")).count()
