@@ -36,9 +36,10 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], *keys: str) -
     Nulls don't count; a group without values has null or no row.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    if df.count() <= SMALL:  # no group is larger, so each fits a task
-        return df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), F.lit(p)).alias(name) for name, (c, p) in wanted.items()])
     points = {c: sorted({p for d, p in wanted.values() if d == c}) for c in columns}
+    if df.count() <= SMALL:  # no group is larger, so each fits a task
+        found = df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, points[c]))).alias(f"__q{i}") for i, c in enumerate(columns)])
+        return found.select(*keys, *[F.col(f"__q{columns.index(c)}")[points[c].index(p)].alias(name) for name, (c, p) in wanted.items()])
     src = df.select(*keys, *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)])
     slack = 2 / ACCURACY
     aggregates = []

@@ -179,8 +179,9 @@ def test_versions_of_a_snapshot(spark, tmp_path):
         spark.createDataFrame([(i % 2, i, i)], "k int, v int, t int").write.mode("append").parquet(source)
         stream = spark.readStream.schema("k int, v int, t int").parquet(source)
         ingest.upsert_into(spark, stream, out, ["k"], "t", str(tmp_path / "c")).awaitTermination(120)
-    assert sorted(d for d in os.listdir(out)) == ["version=2", "version=3"]
-    assert sorted((r.k, r.v) for r in spark.read.parquet(f"{out}/version=3").collect()) == [(0, 2), (1, 3)]
+    assert sorted(d for d in os.listdir(f"{out}/manifest")) == ["version=2", "version=3"]
+    assert sorted((r.k, r.v) for r in ingest.snapshot(spark, out).collect()) == [(0, 2), (1, 3)]
+    assert sorted((r.k, r.v) for r in ingest.snapshot(spark, out, 3).collect()) == [(0, 2), (1, 1)]
 
 
 def pages_of(spark, **contents):

@@ -60,7 +60,7 @@ def test_stream(spark, tmp_path):
     run()
     batch([("b", 7, "2024-01-02 00:00:00"), ("c", 3, "2024-01-02 00:00:00")])
     run()
-    assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "snap/version=1")).collect()} == {"a": 2, "b": 7, "c": 3}
+    assert {r.k: r.v for r in ingest.snapshot(spark, str(tmp_path / "snap")).collect()} == {"a": 2, "b": 7, "c": 3}
     pages_ = spark.readStream.schema("k string, v int, at timestamp").json(src).withColumnRenamed("v", "value")
     q = ingest.counts(pages_, "at", "k").writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True)
     q.start().awaitTermination(60)
