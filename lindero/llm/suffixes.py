@@ -2,11 +2,11 @@
 
 Every window of min_words words selects one of its positions, the first with the smallest hash of
 the gram words that follow; equal windows select alike wherever they stand. Only the suffixes at
-selected positions are kept, about two in 44. The shuffle sorts them by their first words, which
-brings suffixes that may match beside each other; one without such a neighbour is out. A suffix with
-its reach, which is all windows that selected it, is compared with its neighbours as a whole; where
-neighbours differ, the match is extended left and right, window by window, once for each different
-reach. The result is exact: a window counts as repeated just when its words occur elsewhere too.
+selected positions are kept, about two in 44. They are not sorted: suffixes that may match meet by the hash
+of their first words, and one that meets no other is out. A suffix with its reach, which is all windows that selected it,
+is compared as a whole, by a hash of the reach, with those that it meets; where these differ, the windows of the reach are looked at one
+by one, by a hash each, once for each different reach, which finds what extending a match to both sides would find.
+The result is exact but for the hashes: a window counts as repeated just when its words occur elsewhere too.
 
 Of equal windows the first, in the order of documents and positions, is kept. Every word that is cut
 still stands where the first of the windows that cover it stands, so no content is lost. Comparing
