@@ -36,6 +36,21 @@ def numbered_slugs(df: DataFrame, slug: str, order: list[Column | str]) -> DataF
     return df.withColumn("__n", n).withColumn("unique_slug", F.when(F.col("__n") == 1, F.col(slug)).otherwise(F.concat_ws("-", slug, "__n"))).drop("__n")
 
 
+def duplicate_summary(df: DataFrame, group: str) -> DataFrame:
+    """One row: groups of several rows, the rows in them, and the rows that go when one of each group stays."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    several = F.col("n") > 1
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return sizes.agg(F.count_if(several).alias("groups_with_duplicates"), zero(F.sum(F.when(several, F.col("n")))).alias("records_in_duplicate_groups"), zero(F.sum(F.col("n") - 1)).alias("records_removed"))
+
+
+def duplicate_examples(df: DataFrame, group: str, fields: list[str], most: int = 20) -> DataFrame:
+    """All rows, with the fields that there are, of the first groups (by name) of several rows, and how many each group has."""
+    several = df.groupBy(group).agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > 1).where(F.col(group).isNotNull())
+    first = several.orderBy(group).limit(most)
+    return df.join(F.broadcast(first), group).select(group, "count", *[f for f in fields if f in df.columns])  # so many rows at most
+
+
 def deal_out(sizes: list[tuple[int, int]], folds: int) -> dict[int, list[tuple[int, list[int]]]]:
     """For groups of each size (size, how many), by size, the folds that they go to in turn: (from this group on, these folds again and again).
 

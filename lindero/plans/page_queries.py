@@ -5,15 +5,18 @@ The test tables hold no listing pages, so each listing of the sample is written
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lindero.functions import geo, listing, places, text
-from lindero.operators import metrics, scopes, serving, spatial
+from lindero.operators import cover, metrics, scopes, serving, spatial
+from lindero.operators.stored import shared_dir
 from lindero.plans import pipelines, sample
 from lindero.plans.audit_queries import ORACLES, QUERIES
 from lindero.plans.queries import _BASE, _KEY, _distance, _read, query, rounded
-from lindero.sources import pages, portals
+from lindero.sources import pages, portals, shapefile
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -247,6 +250,21 @@ def enriched_by_layers(spark, sf_dir):
     return got.select("id", *layers, "ageb_assignment_quality", "population_density", "establishments_500m", "establishments_1000m", "retail_1000m")
 
 
+@query(f"""{_BASE}, s AS (SELECT * FROM supplier), n AS (SELECT * FROM nation), areas AS ({_AREAS}) SELECT id, min(area_id)::BIGINT AS area_id, arg_min('Área ' || area_id, area_id) AS name FROM l LEFT JOIN areas ON layer IN ('block', 'locality') AND latitude BETWEEN south AND north AND longitude BETWEEN west AND east GROUP BY id""")
+def shapefile_areas(spark, sf_dir):
+    """Areas are written as a shapefile, a file for each task, and read again in ranges of records."""
+    boxes = spark.sql(_AREAS.replace("FROM n", "FROM {n}").replace("FROM s", "FROM {s}"), n=_read(spark, sf_dir, "nation"), s=_read(spark, sf_dir, "supplier")).where("layer in ('block', 'locality')")
+    ring = F.array(*[F.struct(c(x).alias("x"), c(y).alias("y")) for x, y in (("west", "south"), ("west", "north"), ("east", "north"), ("east", "south"), ("west", "south"))])
+    rows = boxes.select(c("area_id").cast("long").alias("area_id"), _text("Área ", c("area_id").cast("string")).alias("name"), F.array(ring).alias("rings"))
+    shapefile.register(spark)
+    place = f"{shared_dir(spark)}/areas-{uuid.uuid4().hex}"
+    rows.write.format("shapefile").mode("overwrite").save(place)
+    back = spark.read.format("shapefile").option("rows", 20).load(place)
+    listings = sample.listings(spark, sf_dir)
+    found = cover.covering(listings, cover.cover(back.select("area_id", "name", "rings")), "id").groupBy("id").agg(F.min("area_id").alias("area_id"), F.min_by("name", "area_id").alias("name"))
+    return listings.select("id").join(found, "id", "left")
+
+
 @query(f"""{_BASE}, g AS (SELECT *, lower(trim(municipality)) || '|' || coalesce(lower(trim(neighborhood)), '') || '|' || property_type || '|' || coalesce(printf('%.2f', price), '') || '|' || coalesce(printf('%.2f', construction_area_m2), '') || '|' || coalesce(printf('%.2f', land_area_m2), '') AS k FROM l),
 t AS ({ORACLES["training_readiness"]}), w AS (SELECT g.id, k, source, source_id FROM g JOIN t ON t.id = g.id WHERE readiness IN ('A', 'B', 'C') AND g.id % 10 <> 0)
 SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY k ORDER BY source, source_id, id) AS r FROM w) WHERE r = 1""")

@@ -278,6 +278,16 @@ def fingerprint_groups(spark, sf_dir):
     return sample.listings(spark, sf_dir).groupBy("dedupe_fingerprint").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.min("id").alias("first_id")).where("sources >= 2")
 
 
+@query(f"{_BASE}, g AS (SELECT count(*) AS n FROM l GROUP BY dedupe_fingerprint) SELECT count(*) FILTER (n > 1) AS groups_with_duplicates, (coalesce(sum(n) FILTER (n > 1), 0))::BIGINT AS records_in_duplicate_groups, sum(n - 1)::BIGINT AS records_removed FROM g")
+def duplicate_summary(spark, sf_dir):
+    return windows.duplicate_summary(sample.listings(spark, sf_dir), "dedupe_fingerprint")
+
+
+@query(f"{_BASE}, g AS (SELECT dedupe_fingerprint AS g, count(*) AS n FROM l GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 20) SELECT dedupe_fingerprint, n AS count, source, source_id, title, price FROM l JOIN g ON g = dedupe_fingerprint")
+def duplicate_examples(spark, sf_dir):
+    return windows.duplicate_examples(sample.listings(spark, sf_dir), "dedupe_fingerprint", ["source", "source_id", "title", "price", "not_there"])
+
+
 @query(f"""{_BASE}, q AS (SELECT source, CASE WHEN latitude IS NOT NULL AND neighborhood <> '' AND municipality <> '' THEN 'A' WHEN latitude IS NOT NULL AND municipality <> '' THEN 'B' WHEN neighborhood <> '' AND municipality <> '' THEN 'C' WHEN municipality <> '' THEN 'D' ELSE 'E' END AS g FROM l)
 SELECT source, {", ".join(f"count(*) FILTER (g = '{g}') AS {g.lower()}" for g in "ABCDE")} FROM q GROUP BY 1""")
 def location_quality_counts(spark, sf_dir):

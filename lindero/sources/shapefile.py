@@ -92,6 +92,9 @@ class _Files:
 
 
 def _system(path: str):
+    """The file system and the path in it. A single slash, as Hadoop writes local paths, is as good as three."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = f"file://{path[5:]}"
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 

@@ -134,6 +134,16 @@ def test_folds_are_even_and_keep_groups_whole(spark):
                 loads[want] += size
 
 
+def test_a_model_tells_its_features_in_order(spark, priced):
+    model = evaluation.fit_model(priced, ["size"], ["property_type", "municipality"], "random_forest")
+    assert evaluation.feature_contract(model) == (["size"], ["property_type", "municipality"])
+    evaluation.check_contract(model, ["size"], ["property_type", "municipality"])
+    with pytest.raises(ValueError, match="takes"):
+        evaluation.check_contract(model, ["size"], ["municipality", "property_type"])
+    with pytest.raises(ValueError, match="municipality"):
+        evaluation.predict(model, priced.drop("municipality"))
+
+
 def test_models_are_kept(spark, priced, tmp_path):
     model = evaluation.fit_model(priced, ["size"], ["property_type"], "random_forest")
     evaluation.save_model(model, str(tmp_path / "m"))
