@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lindero.llm.common import bounded_batches, drop_since, drop_tables, map_texts, slices, tables_so_far, utf8, written_table
@@ -265,28 +265,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written_table(with_keys.select("rep", "whole", "first", "cells", "keys"))
     rows = written_table(found.select("id", "whole").join(reps.select("whole", "rep"), "whole"))
     drop_tables(found)
-    of_key = Window.partitionBy("key")
-    met = with_keys.select("rep", "n", F.explode("keys").alias("key")).withColumns({"low": F.min("rep").over(of_key), "high": F.max("rep").over(of_key)})
-    met = written_table(met.where("low <> high").drop("low", "high"))
-    drop_tables(with_keys)
     needed = lambda n: F.least(F.lit(4), F.lit(1) + F.floor(F.col(n) / 10))  # noqa: E731  shared_keys()
     fits = F.expr(f"a.n * {least[1]} >= b.n * {least[0]} and b.n * {least[1]} >= a.n * {least[0]}")
     edges: list[DataFrame] = []
-    labels = met.select(F.col("rep").alias("fp")).distinct().withColumn("label", F.col("fp"))
+    held, met, joined = with_keys, with_keys.select("rep", "n", F.explode("keys").alias("key")), None
     for turn in range(HUB_ROUNDS + 1):
-        now = met.join(labels.withColumnRenamed("fp", "rep"), "rep") if turn else met.withColumn("label", F.col("rep"))
-        # Keys with one label keep it, so only the others go on.
-        mixed = now.withColumns({"low": F.min("label").over(of_key), "high": F.max("label").over(of_key), "size": F.count(F.lit(1)).over(of_key)}).where("low <> high").drop("low", "high")
+        # Keys with one label keep it, so only the others go on. They are counted before the texts of a key meet, which the join may split.
+        label = F.col("rep") if joined is None else F.coalesce("label", "rep")
+        now = (met if joined is None else met.join(joined.withColumnRenamed("fp", "rep"), "rep", "left")).withColumn("label", label)
+        of_key = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
+        mixed = written_table(now.join(of_key, "key"))
+        drop_tables(held)
+        held, met = mixed, mixed.select("rep", "n", "key")
         if turn < HUB_ROUNDS:
-            hub = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("at"), "rep", "n", "label")).over(of_key)
-            near = mixed.withColumn("hub", hub).select(F.struct("rep", "n", "label").alias("a"), F.col("hub").alias("b")).where("a.label <> b.label").where(fits)
+            hub = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("at"), "rep", "n", "label")).alias("b"))
+            near = mixed.select("key", F.struct("rep", "n", "label").alias("a")).join(hub, "key").where("a.label <> b.label").where(fits)
             counted = near.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n")).agg(F.count(F.lit(1)).alias("times"))
             pairs = counted.where(F.col("times") >= F.least(needed("a_n"), needed("b_n"))).select("a", "b")
         else:
             pairs = close_pairs(mixed.join(reps.select("rep", "cells", "keys"), "rep"), least)
         edges.append(similar(pairs, rows, docs, id_col, text_col, shingle, least))
         joined = components(reduce(DataFrame.unionByName, edges))
-        labels = met.select(F.col("rep").alias("fp")).distinct().join(joined, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
     named = joined.join(reps.select(F.col("rep").alias("fp"), "first"), "fp")
     smallest = named.groupBy("label").agg(F.min("first").alias("least"))
     merged = named.join(smallest, "label").select(F.col("fp").alias("rep"), "least")
