@@ -35,6 +35,14 @@ def upsert_counts(old: DataFrame, new: DataFrame, keys: list[str], valid: Column
     )
 
 
+def update_rows(old: DataFrame, changes: DataFrame, key: str, fields: list[str], recency: str) -> DataFrame:
+    """The next snapshot: each row with the fields of its newest change, which may be null; rows without a change stay, changes of unknown rows are nothing."""
+    newest = first_of(changes.where(F.col(key).isNotNull()), [key], [F.desc(recency)])
+    marked = newest.select(key, *[F.col(f).alias(f"__{f}") for f in fields], F.lit(True).alias("__changed"))
+    joined = old.join(marked, key, "left")
+    return joined.withColumns({f: F.when(F.col("__changed"), F.col(f"__{f}")).otherwise(F.col(f)) for f in fields}).select(*old.columns)
+
+
 def unseen(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key the old snapshot lacks."""
     return new.join(old.select(*keys).distinct(), keys, "left_anti")

@@ -87,6 +87,11 @@ def breadcrumb_pages(spark, sf_dir):
 SELECT concat('listing-', id) AS source_id, {_TITLE} AS title, property_type, {_OPERATION} AS operation, coalesce(round(price), 0) AS price, 'MXN' AS currency, latitude, longitude, CASE WHEN latitude IS NOT NULL THEN 'button_data_xy' END AS coordinate_source, 'Morelos' AS state,
 concat('Cuautla ', municipality) AS locality, street, neighborhood, '62740' AS postal_code, land AS land_area_m2, CASE WHEN land IS NOT NULL THEN 'description' END AS land_area_source, construction_area_m2, bedrooms, bathrooms, parking_spaces FROM q""")
 def labelled_pages(spark, sf_dir):
+    raw = _labelled(spark, sf_dir).select("source", "url", "content")
+    return portals.parse_labelled(raw).select("source_id", "title", "property_type", "operation", "price", "currency", "latitude", "longitude", "coordinate_source", "state", "locality", "street", "neighborhood", "postal_code", "land_area_m2", "land_area_source", "construction_area_m2", "bedrooms", "bathrooms", "parking_spaces")
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
     where = F.concat_ws(", ", "street", _given(c("neighborhood"), "Col. ", c("neighborhood")), _text("Cuautla ", c("municipality")), F.lit("Morelos"), F.lit("62740 México"))
     told = F.concat_ws(" y ", _given(c("land_area_m2"), "terreno de ", c("land_area_m2").cast("string"), " m2"), _given(c("construction_area_m2"), "construcción de ", c("construction_area_m2").cast("string"), " m2"))
     content = _text(
@@ -94,8 +99,7 @@ def labelled_pages(spark, sf_dir):
         '<span class="x" itemprop="address"> Localización: ', where, "</span>", _given(c("latitude"), '<button type="button" data-y="', c("longitude").cast("string"), '" data-x="', c("latitude").cast("string"), '">Ver mapa</button>'),
         _given(c("bedrooms"), "<p>", c("bedrooms").cast("string"), " recámaras,</p>"), _given(c("bathrooms"), "<p>", c("bathrooms").cast("string"), " baños,</p>"), "<p>", c("parking_spaces").cast("string"), " autos</p></body></html>",
     )
-    raw = _pages(spark, sf_dir).select("source", _text("https://www.example.com/listing-", c("id").cast("string")).alias("url"), content.alias("content"))
-    return portals.parse_labelled(raw).select("source_id", "title", "property_type", "operation", "price", "currency", "latitude", "longitude", "coordinate_source", "state", "locality", "street", "neighborhood", "postal_code", "land_area_m2", "land_area_source", "construction_area_m2", "bedrooms", "bathrooms", "parking_spaces")
+    return _pages(spark, sf_dir).select("id", "source", _text("https://www.example.com/listing-", c("id").cast("string")).alias("url"), content.alias("content"))
 
 
 @query("""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs') AS html FROM pages)

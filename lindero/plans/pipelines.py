@@ -7,17 +7,28 @@ from pyspark.sql import functions as F
 
 from lindero.functions import listing, text
 from lindero.operators import cover, spatial, windows
-from lindero.sources import pages
+from lindero.sources import pages, portals
 
 
-def listings_from_pages(raw: DataFrame) -> DataFrame:
-    """Parsed pages with fingerprint and quality flags; a page that tells nothing keeps a row with flags."""
-    rows = pages.parse(raw).withColumns({"location_raw": F.lit(None).cast("string"), "address_text": F.col("street")})
+def _flagged(rows: DataFrame) -> DataFrame:
     c = F.col
     printed = text.python_fingerprint(c("latitude"), c("longitude"), c("price"), c("land_area_m2"), c("construction_area_m2"), c("bedrooms"), c("bathrooms"), c("parking_spaces"))
     return rows.withColumns({"dedupe_fingerprint": printed, "quality_flags": listing.quality_flags()})
 
 
+def listings_from_pages(raw: DataFrame) -> DataFrame:
+    """Parsed pages with fingerprint and quality flags; a page that tells nothing keeps a row with flags."""
+    return _flagged(pages.parse(raw).withColumns({"location_raw": F.lit(None).cast("string"), "address_text": F.col("street")}))
+
+
+def reparse(raw: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
+    """The stored raw pages (raw_id, source, url, content) read anew by their sources' parsers: the newest page of each listing, with its raw_id, fingerprint and flags.
+
+    kinds: the sources of each kind of page; pages of other sources are left out.
+    """
+    return windows.first_of(_flagged(portals.by_source(raw, kinds)), ["source", "source_id"], [F.desc("raw_id")])
+
+
 def enrich(rows: DataFrame, polygons: DataFrame, census: DataFrame, places: DataFrame, key: str = "id") -> DataFrame:
     """Usable listings with their area, its census figures and counts of places. census: area_id, population, houses, area_km2."""
     usable = rows.where(listing.usable_location())
