@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,15 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
-#: Folders of tables that were written and not yet removed, in the order of writing.
-_WRITTEN: list[str] = []
+#: Folders of tables that were written and not yet removed, with a number that rises and the thread that wrote them.
+_WRITTEN: dict[str, tuple[int, int]] = {}
+_NUMBERS = itertools.count(1)
 
 
 def written_table(df: DataFrame, by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, so that a lost executor costs no recomputation of what went before; by: a column to lay it out by."""
     spark = df.sparkSession
     place = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    _WRITTEN.append(place)
+    _WRITTEN[place] = (next(_NUMBERS), threading.get_ident())
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(place)
     out = spark.read.schema(df.schema).parquet(place)
@@ -66,13 +69,13 @@ def drop_tables(*tables: DataFrame) -> None:
 
 def tables_so_far() -> int:
     """A mark for drop_since()."""
-    return len(_WRITTEN)
+    return next(_NUMBERS)
 
 
 def drop_since(spark: SparkSession, mark: int, *but: DataFrame) -> None:
-    """Remove the tables written since a mark, but for some. Results that are not yet computed must not depend on them."""
-    kept = {t.lindero_place for t in but}
-    _remove(spark, [p for p in _WRITTEN[mark:] if p not in kept])
+    """Remove the tables that this thread wrote since a mark, but for some. Results that are not yet computed must not depend on them."""
+    kept, mine = {t.lindero_place for t in but}, threading.get_ident()
+    _remove(spark, [p for p, (n, by) in list(_WRITTEN.items()) if n > mark and by == mine and p not in kept])
 
 
 def _remove(spark: SparkSession, places: list[str]) -> None:
@@ -80,8 +83,7 @@ def _remove(spark: SparkSession, places: list[str]) -> None:
     for place in places:
         path = jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(conf).delete(path, True)
-        if place in _WRITTEN:
-            _WRITTEN.remove(place)
+        _WRITTEN.pop(place, None)
 
 
 def plain_names(docs: DataFrame) -> DataFrame:
