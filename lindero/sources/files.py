@@ -24,9 +24,13 @@ def start_urls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("url")).where("url <> '' and not startswith(url, '#')")
 
 
-def table(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A delimited file with a header and a given schema; only the columns asked for are parsed."""
-    df = spark.read.csv(path, schema=schema, header=True, encoding=encoding, mode="PERMISSIVE")
+#: Quotes are doubled, as other readers and writers have them.
+_QUOTES = {"quote": '"', "escape": '"'}
+
+
+def table(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None, encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
+    """A delimited file with a header and a given schema; only the columns asked for are parsed. Texts may hold line breaks if multiline; such files are not split. An empty text is null."""
+    df = spark.read.csv(path, schema=schema, header=True, encoding=encoding, mode="PERMISSIVE", multiLine=multiline, **_QUOTES)
     return df.select(*columns) if columns else df
 
 
@@ -83,8 +87,9 @@ def embedded_snapshot(df: DataFrame, column: str, fields: list[str], separator:
 
 
 def write_table(df: DataFrame, path: str, fields: list[str]) -> None:
-    """CSV with the fields in order; those that the rows lack are empty."""
-    df.select(*[F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields]).write.mode("overwrite").csv(path, header=True)
+    """CSV with the fields in order; those that the rows lack are empty. Blanks at the ends of a text stay."""
+    rows = df.select(*[F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields])
+    rows.write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **_QUOTES)
 
 
 def write_json(df: DataFrame, path: str) -> None:

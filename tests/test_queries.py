@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lindero.functions import listing, text
 from lindero.plans import sample
-from lindero.plans.request_queries import ORACLES, QUERIES
+from lindero.plans.file_queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 

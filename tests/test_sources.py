@@ -44,6 +44,24 @@ def test_snapshots_and_outputs(spark, tmp_path):
     assert [r.url for r in files.start_urls(spark, str(tmp_path / "u.txt")).collect()] == ["https://a"]
 
 
+def test_texts_through_csv(spark, tmp_path):
+    rows = [(1, ' a "quoted", text \nwith\r\nbreaks '), (2, ""), (3, None), (4, "\\"), (5, '"')]
+    files.write_table(spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "o"), ["text", "id", "none"])
+    got = files.table(spark, str(tmp_path / "o"), "text string, id long, none string", ["id", "text"], multiline=True)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, t or None) for i, t in rows]
+
+
+def test_database_table_in_ranges(spark, tmp_path):
+    """Bounds only deal the rows: those beyond them and those without a key are read, too."""
+    url, driver = "jdbc:derby:memory:lindero;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    rows = spark.range(200).select(F.when(F.col("id") < 199, F.col("id")).alias("k"), (F.col("id") * 2).alias("v"))
+    rows.write.mode("overwrite").option("driver", driver).jdbc(url, "listings")
+    got = files.jdbc_table(spark, url, "listings", "k", 50, 100, 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted((r[1], r[0]) for r in got.collect()) == [(2 * i, i if i < 199 else None) for i in range(200)]
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([("a", 1, 10, None), ("b", 1, 11, "x"), (None, 1, 12, None)], "k string, v int, t int, note string")
     new = spark.createDataFrame([("a", 2, 20), ("c", 3, 21), (None, 5, 22)], "k string, v int, t int")
