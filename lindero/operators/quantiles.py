@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lindero.operators.stored import cut
+
 #: Values of a group that are told apart whole, and the accuracy of the sketch that brackets the quantiles of larger ones.
 SMALL, ACCURACY = 1_000_000, 10_000
 #: Buckets of a group for ranks.
@@ -60,7 +62,8 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], *keys: str) -
         return F.transform(inside, lambda b: F.struct(b["at"].alias("at"), n.alias("n"), F.when(x >= b["low"], x).otherwise(_LEAST).alias("x")))
 
     counts = joined.select(*keys, F.explode(F.concat(*[held(i) for i in range(len(columns))])).alias("__h")).select(*keys, "__h.*").groupBy(*keys, "at", "n", "x").agg(F.count(F.lit(1)).alias("count"))
-    run = counts.withColumn("upto", F.sum("count").over(Window.partitionBy(*keys, "at").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    # A bracket of a very large group still holds many values, so these are summed up by buckets.
+    run = running_sums(cut(counts), [*keys, "at"], "x", "count").withColumnRenamed("so_far", "upto")
     picks = []
     for name, (c, p) in wanted.items():
         i, j = columns.index(c), points[c].index(p)

@@ -30,10 +30,10 @@ def interleave(df: DataFrame, group: str, order: list[str], key: str, limit: int
     return first_of(turn, [key], ["turn", group]).orderBy("turn", group).limit(limit)
 
 
-def numbered_slugs(df: DataFrame, slug: str, order: list[Column | str]) -> DataFrame:
-    """slug, slug-2, slug-3 and so on for rows that would share one."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    return df.withColumn("__n", n).withColumn("unique_slug", F.when(F.col("__n") == 1, F.col(slug)).otherwise(F.concat_ws("-", slug, "__n"))).drop("__n")
+def numbered_slugs(df: DataFrame, slug: str, number: str, *ties: str) -> DataFrame:
+    """slug, slug-2, slug-3 and so on for rows that would share one, in the order of a number and ties; no task orders all rows of a slug."""
+    turn = F.col("__rank")
+    return ranked(df, [slug], F.col(number), *ties).withColumn("unique_slug", F.when(turn == 1, F.col(slug)).otherwise(F.concat_ws("-", slug, turn))).drop("__rank", "__n")
 
 
 def duplicate_summary(df: DataFrame, group: str) -> DataFrame:

@@ -75,16 +75,17 @@ _POSTAL = {"|": "d_codigo|d_asenta|D_mnpio|d_estado|d_zona", "\t": "Código Post
 lpad(CAST(c_custkey % 90000 AS VARCHAR), 5, '0') AS postal_code, CAST(NULL AS VARCHAR) AS city, CASE WHEN c_custkey % 3 <> 0 THEN 'Urbano' END AS zone, 'postal_file' AS source
 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 17 <> 0 AND c_custkey % 19 <> 0""")
 def postal_files(spark, sf_dir):
-    """A file for each nation, with lines before its header and one of four delimiters; rows without a settlement or a code go."""
+    """Files of a nation's rows, 50,000 keys to each, with lines before the header and one of four delimiters; rows without a settlement or a code go."""
     place, key = _place(spark), c("c_custkey")
     rows = _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"))
     of = lambda values: F.get(F.array(*map(F.lit, values)), (c("n_nationkey") % 4).cast("int"))
     fields = [F.when(key % 17 != 0, (key % 90000).cast("string")), F.when(key % 19 != 0, F.concat(F.lit("Colonia Ñandú "), key)), c("c_mktsegment"), c("n_name"), F.when(key % 3 != 0, "Urbano")]
     quote = F.when(of(_POSTAL) == ";", '"').otherwise("")
     line = F.array_join(F.array(*[F.concat(quote, F.coalesce(f, F.lit("")), quote) for f in fields]), "\u0001")
-    body = rows.select(c("n_nationkey").alias("file"), key.cast("long").alias("at"), F.replace(line, F.lit("\u0001"), of(_POSTAL)).alias("line"))
+    file = F.concat_ws("-", "n_nationkey", F.floor(key / 50_000)).alias("file")
+    body = rows.select(file, key.cast("long").alias("at"), F.replace(line, F.lit("\u0001"), of(_POSTAL)).alias("line"))
     first = F.array(F.lit("Catálogo de asentamientos"), F.lit(""), of(_POSTAL.values()))
-    heads = rows.select("n_nationkey").distinct().select(c("n_nationkey").alias("file"), F.posexplode(first).alias("at", "line")).withColumn("at", c("at").cast("long") - 3)
+    heads = rows.select("n_nationkey", file).distinct().select("file", F.posexplode(first).alias("at", "line")).withColumn("at", c("at").cast("long") - 3)
     ordered = body.unionByName(heads).repartition("file").sortWithinPartitions("file", "at")
     ordered.select("file", c("line").alias("value")).write.partitionBy("file").text(place)
     return files.postal_settlements(spark, f"{place}/file=*")

@@ -423,7 +423,7 @@ def best_predictions(spark, sf_dir):
 @query("SELECT p_partkey AS id, replace(p_name, ' ', '-') || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS unique_slug FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)")
 def numbered_slugs(spark, sf_dir):
     df = _read(spark, sf_dir, "part").withColumn("slug", text.slug(F.col("p_name")))
-    return windows.numbered_slugs(df, "slug", ["p_partkey"]).select(F.col("p_partkey").alias("id"), "unique_slug")
+    return windows.numbered_slugs(df, "slug", "p_partkey").select(F.col("p_partkey").alias("id"), "unique_slug")
 
 
 _FOLD_OF = "list_position(loads, list_min(loads))"

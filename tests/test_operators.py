@@ -51,6 +51,20 @@ def test_ranks_and_running_sums(spark, monkeypatch, buckets):
         assert r.so_far == sum(1.0 + i % 3 for i in range(int(r.x) + 1)) and r.all == sum(1.0 + i % 3 for i in range(300))
 
 
+@pytest.mark.parametrize("buckets", [2, 64])
+def test_slugs_of_a_common_title(spark, monkeypatch, buckets):
+    """Most rows share a slug, some share a number, too, and some have none."""
+    monkeypatch.setattr(quantiles, "BUCKETS", buckets)
+    rows = [("casa" if i % 10 else f"lote {i % 3}", None if i % 50 == 1 else i // 3 % 40, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "slug string, n int, id long").repartition(4)
+    got = {r.id: r.unique_slug for r in windows.numbered_slugs(df, "slug", "n", "id").collect()}
+    held = {}
+    for slug, _, i in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        held[slug] = held.get(slug, 0) + 1
+        assert got[i] == (slug if held[slug] == 1 else f"{slug}-{held[slug]}")
+    assert len(set(got.values())) == 600
+
+
 @pytest.fixture(scope="module")
 def priced(spark):
     r = random.Random(5)
