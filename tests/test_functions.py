@@ -133,3 +133,36 @@ def test_radius_and_neighbours(spark):
     near = {r.id: r.nearby for r in spatial.neighbours(df, "id", 120.0).collect()}
     for i, a, b in points:
         assert near[i] == (sum(1 for _, c, e in points if c and haversine(a, b, c, e) < 120) if a else 0)
+
+
+def test_texts_within_texts_are_written_down_once(spark):
+    """Each step reads what the one before gave; if a step stood twice in the plan, these would stand in it dozens of times."""
+    df = spark.createDataFrame([(" 1,200 m2 ",), ("  ",), (None,)], "t string")
+    kept = text.area(text.clean_text(text.clean_text(F.col("t")))).alias("a")
+    money = text.price(text.clean_text(F.col("t")))
+    got = df.select(kept, money["price"].alias("p"), text.property_type(F.col("t")).alias("k"), text.operation(F.col("t")).alias("o"))
+    plan = df.select(kept)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 3 and plan.count("regexp_extract(") == 1
+    assert got.collect() == [(1200.0, 12002.0, "otro", "desconocido"), (None, None, None, "desconocido"), (None, None, None, "desconocido")]
+
+
+def test_rows_of_one_point_are_met_as_one(spark, monkeypatch):
+    rows = [(i, 19.0 + (i % 3) / 1000, -99.0) for i in range(30)] + [(30, None, None)]
+    here = [(i, "46" if i % 2 else "72", 19.0 + (i % 4) / 1000, -99.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    pl = spark.createDataFrame(here, "place_id long, activity string, latitude double, longitude double")
+    met, near = [], spatial.within_radius
+    monkeypatch.setattr(spatial, "within_radius", lambda t, p, m: met.append((t.count(), p.count())) or near(t, p, m))
+    got = {tuple(r)[:4] for r in spatial.nearest(df, pl, "id", F.col("place_activity"), 500.0, 3).collect()}
+    assert met == [(3, 4)]  # points, not rows
+    metres = lambda a, b: round(abs(a - b) * 1000) * 111
+    want = set()
+    for i, y, _ in rows[:-1]:
+        for kind in ("46", "72"):
+            order = sorted((metres(y, py), p) for p, k, py, _ in here if k == kind)
+            want |= {(i, kind, n + 1, p) for n, (_, p) in enumerate(order[:3])}
+    assert got == want
+    counts = {r.id: r.all_120m for r in spatial.radius_counts(df, pl, "id", {"all": ""}, (120,)).collect()}
+    plane = {r.id: r.within_120m for r in spatial.planar_counts(df, pl, "id", (120,)).collect()}
+    by_hand = {i: sum(y is not None and metres(y, py) <= 120 for _, _, py, _ in here) for i, y, _ in rows}
+    assert counts == plane == by_hand and spatial._points(df).count() == 3
