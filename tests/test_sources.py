@@ -83,3 +83,10 @@ def test_stream(spark, tmp_path):
     q = ingest.counts(pages_, "at", "k").writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True)
     q.start().awaitTermination(60)
     assert {(r.k, r.n) for r in spark.table("counted").collect()} >= {("a", 2)}
+
+
+def test_titles_as_written(spark):
+    html = '<html><head>\n<!-- <title>no</title> --><title lang="x">A &amp; b &quot;c&quot; d&amp</title></head><body><a href="/x">x</a></body></html>'
+    df = spark.createDataFrame([(html,), ("<p>none</p>",), (None,)], "html string")
+    got = [tuple(r) for r in df.select(pages.marks("html").alias("m")).select("m.title", "m.written_title").collect()]
+    assert got == [('A & b "c" d&', "A &amp; b &quot;c&quot; d&amp"), (None, None), (None, None)]
