@@ -9,7 +9,7 @@ up and then left to the point crosses, and these all meet the cell. So no test l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -156,10 +156,18 @@ def covering(points: DataFrame, cells: DataFrame, key: str, x: str = "longitude"
     return spread.join(cells, ["level", "x", "y"]).where(_covers(F.col("__px"), F.col("__py"))).select(key, *own)
 
 
+def by_point(points: DataFrame, key: str, find: Callable[[DataFrame], DataFrame], x: str = "longitude", y: str = "latitude") -> DataFrame:
+    """key and what find() tells, or null, of the row's point. find() gets each point once, with __point as its key, and returns a row for it at most."""
+    each = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y).distinct()
+    found = find(each.repartition(points.sparkSession.sparkContext.defaultParallelism, x, y).withColumn("__point", F.struct(x, y)))
+    told = [c for c in found.columns if c != "__point"]
+    return points.select(key, F.col(x).alias("__x"), F.col(y).alias("__y")).join(found.select(F.col("__point")[x].alias("__x"), F.col("__point")[y].alias("__y"), *told), ["__x", "__y"], "left").select(key, *told)
+
+
 def first_covering(points: DataFrame, areas: DataFrame, key: str, area: str = "area_id", rings: str = "rings") -> DataFrame:
     """key and area, the first (by its id) that covers the point; null where none does."""
-    hits = covering(points, cover(areas.select(area, rings), rings), key).groupBy(key).agg(F.min(area).alias(area))
-    return points.select(key).join(hits, key, "left")
+    cells = cover(areas.select(area, rings), rings)
+    return by_point(points, key, lambda p: covering(p, cells, "__point").groupBy("__point").agg(F.min(area).alias(area)))
 
 
 def layers_of(points: DataFrame, layers: dict[str, DataFrame], key: str, area: str = "area_id", rings: str = "rings") -> DataFrame:
@@ -168,5 +176,5 @@ def layers_of(points: DataFrame, layers: dict[str, DataFrame], key: str, area: s
     for name, areas in layers.items():
         part = areas.select(F.lit(name).alias("layer"), F.col(area).alias("area"), F.col(rings).alias("rings"))
         united = part if united is None else united.unionByName(part)
-    found = covering(points, cover(united), key).groupBy(key).agg(*[F.min(F.when(F.col("layer") == n, F.col("area"))).alias(n) for n in layers])
-    return points.select(key).join(found, key, "left")
+    cells, firsts = cover(united), [F.min(F.when(F.col("layer") == n, F.col("area"))).alias(n) for n in layers]
+    return by_point(points, key, lambda p: covering(p, cells, "__point").groupBy("__point").agg(*firsts))

@@ -4,6 +4,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from lindero.operators import cover
 from lindero.sources import shapefile
@@ -140,3 +141,10 @@ def test_a_shapefile_needs_its_index(spark, tmp_path):
     shapefile.register(spark)
     with pytest.raises(Exception, match="index"):
         spark.read.format("shapefile").load(str(tmp_path / "a.shp")).collect()
+
+
+def test_points_are_looked_up_once(spark):
+    df = spark.createDataFrame([(i, float(i % 2), 1.0) for i in range(20)] + [(20, None, 1.0)], "id int, longitude double, latitude double")
+    seen = []
+    got = cover.by_point(df, "id", lambda p: seen.append(p.count()) or p.select("__point", F.col("longitude").alias("x")))
+    assert seen == [2] and {tuple(r) for r in got.collect()} == {(i, float(i % 2)) for i in range(20)} | {(20, None)}
