@@ -148,14 +148,14 @@ def test_texts_within_texts_are_written_down_once(spark):
 
 def test_rows_of_one_point_are_met_as_one(spark, monkeypatch):
     rows = [(i, 19.0 + (i % 3) / 1000, -99.0) for i in range(30)] + [(30, None, None)]
-    here = [(i, "46" if i % 2 else "72", 19.0 + (i % 4) / 1000, -99.0) for i in range(40)]
+    here = [(i, "46" if i % 2 else "72", 19.0003 + (i % 4) / 1000, -99.0) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, latitude double, longitude double")
     pl = spark.createDataFrame(here, "place_id long, activity string, latitude double, longitude double")
     met, near = [], spatial.within_radius
     monkeypatch.setattr(spatial, "within_radius", lambda t, p, m: met.append((t.count(), p.count())) or near(t, p, m))
     got = {tuple(r)[:4] for r in spatial.nearest(df, pl, "id", F.col("place_activity"), 500.0, 3).collect()}
     assert met == [(3, 4)]  # points, not rows
-    metres = lambda a, b: round(abs(a - b) * 1000) * 111
+    metres = lambda a, b: round(abs(a - b) * 10000) * 11.1
     want = set()
     for i, y, _ in rows[:-1]:
         for kind in ("46", "72"):
