@@ -140,10 +140,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int, sent: Broa
     return map_texts(docs, [id_col], text_col, "whole binary, n long, keys array<long>, cells binary", make)
 
 
-def _compare(key: int, rows: tuple[np.ndarray, ...], least: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+def _compare(rows: tuple[np.ndarray, ...], least: tuple[int, int]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one block (side, rep, n, label, cells, keys) that may be similar: of different labels, and of different sides if it has two.
 
-    A pair that shares several keys belongs to the smallest.
+    keys: those of the texts that are smaller than the block's; a pair that shares several keys belongs to the smallest.
     """
     side, rep, n, label, cell, of = rows
     out = []
@@ -158,7 +158,7 @@ def _compare(key: int, rows: tuple[np.ndarray, ...], least: tuple[int, int]) ->
             apart = np.abs(cell[at] - cell[i]).sum(1)
             # The sets share at most half of what is left of their sizes.
             at = at[sum(least) * (total - apart) >= 2 * least[0] * total]
-            at = at[[min(of[i] & of[j]) == key for j in at.tolist()]] if len(at) else at
+            at = at[[of[i].isdisjoint(of[j]) for j in at.tolist()]] if len(at) else at
             if len(at):
                 out.append((np.minimum(rep[at], rep[i]), np.maximum(rep[at], rep[i])))
     return out
@@ -173,7 +173,8 @@ def close_pairs(met: DataFrame, least: tuple[int, int]) -> DataFrame:
     bounded_batches(spark)
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
-    dealt = met.select("key", "rep", "n", "label", "cells", "keys", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    smaller = F.filter("keys", lambda k: k < F.col("key")).alias("keys")
+    dealt = met.select("key", "rep", "n", "label", "cells", smaller, own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
     block = F.struct("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     # The block's hash stands for it; blocks that share one are told apart by its key and chunks.
     dealt = dealt.select(F.xxhash64(block).alias("block"), "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "label", "cells", "keys")
@@ -185,7 +186,7 @@ def close_pairs(met: DataFrame, least: tuple[int, int]) -> DataFrame:
 
         def done():
             if held and sum(len(h[0]) for h in held) > 1:
-                for a, b in _compare(int(name[1]), tuple(np.concatenate(x) for x in zip(*held, strict=True)), least):
+                for a, b in _compare(tuple(np.concatenate(x) for x in zip(*held, strict=True)), least):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
             held.clear()
 
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent.destroy()
     distinct = found.groupBy("whole").agg(F.min("id").alias("first"), F.first(F.struct("n", "keys", "cells")).alias("x")).select("whole", "first", "x.*")
     with_keys = written_table(distinct.withColumn("rep", F.monotonically_increasing_id()))
-    reps = written_table(with_keys.select("rep", "whole", "first", "cells", "keys"))
+    reps = written_table(with_keys.select("rep", "whole", "first", "cells"))
     rows = written_table(found.select("id", "whole").join(reps.select("whole", "rep"), "whole"))
     drop_tables(found)
     needed = lambda n: F.least(F.lit(4), F.lit(1) + F.floor(F.col(n) / 10))  # noqa: E731  shared_keys()
@@ -283,7 +284,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             counted = near.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n")).agg(F.count(F.lit(1)).alias("times"))
             pairs = counted.where(F.col("times") >= F.least(needed("a_n"), needed("b_n"))).select("a", "b")
         else:
-            pairs = close_pairs(mixed.join(reps.select("rep", "cells", "keys"), "rep"), least)
+            # Of a text's keys only those under which labels still differ can be shared by a pair, so no others are carried along.
+            open_keys = mixed.groupBy("rep").agg(F.collect_list("key").alias("keys"))
+            pairs = close_pairs(mixed.join(reps.select("rep", "cells"), "rep").join(open_keys, "rep"), least)
         edges.append(similar(pairs, rows, docs, id_col, text_col, shingle, least))
         joined = components(reduce(DataFrame.unionByName, edges))
     named = joined.join(reps.select(F.col("rep").alias("fp"), "first"), "fp")

@@ -76,6 +76,22 @@ def test_close_pairs_lose_none(spark, monkeypatch, chunk):
     assert true and true <= got and len(got) < len(sets) ** 2 / 10
 
 
+def test_last_round_carries_open_keys_only(spark, monkeypatch):
+    """Keys under which no labels differ, as nearly all keys of a text are its own, don't go along with it."""
+    carried, whole = [], similar.close_pairs
+
+    def looked_at(met, least):
+        carried.extend((r.key, r.keys) for r in met.select("key", "keys").collect())
+        return whole(met, least)
+
+    monkeypatch.setattr(similar, "close_pairs", looked_at)
+    monkeypatch.setattr(similar, "HUB_ROUNDS", 0)
+    got = near_duplicates(documents(spark, near_copies())).collect()
+    assert sorted(map(tuple, got), key=repr) == slow_components(near_copies())
+    held = {k for k, _ in carried}
+    assert carried and all(k in keys and held.issuperset(keys) for k, keys in carried)
+
+
 def test_counts_of_shingles(spark):
     rows = near_copies() + [(9000 + i, "the same text for all of them here") for i in range(300)]
     got = similar.shingle_counts(documents(spark, rows).repartition(7))
