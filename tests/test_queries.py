@@ -51,3 +51,15 @@ def test_cross_source_duplicates_has_the_pairs_from_the_default_threshold(spark)
     want = {(r.left_id, r.right_id): round(r.score, 6) for r in every.collect()}
     assert {(r.left_id, r.right_id): r.score for r in QUERIES["cross_source_duplicates"](spark, FOLDER).collect()} == want
     assert any(s < 0.7 for s in want.values())
+
+
+def test_likely_duplicates_stop_where_enough_pairs_score_more(spark, monkeypatch):
+    """The first pairs are those of a search from the least score on, though pairs that score less aren't met; with too few, all steps are gone through."""
+    from lindero.operators import spatial
+
+    df = sample.listings(spark, FOLDER)
+    want = spatial.cross_source_pairs(df).orderBy(F.desc("score"), "left_id", "right_id").collect()
+    met, pairs = [], spatial._pairs
+    monkeypatch.setattr(spatial, "_pairs", lambda slim, least: met.append(least) or pairs(slim, least))
+    assert spatial.likely_duplicates(df, most=3).collect() == want[:3] and min(met) > 0.62
+    assert spatial.likely_duplicates(df, most=len(want) + 1).collect() == want and min(met) == 0.62
