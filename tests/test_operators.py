@@ -37,6 +37,21 @@ def test_quantiles_equal_brute_force(spark, monkeypatch, small, accuracy):
                 assert k not in got or got[k]["x50"] is None
 
 
+def test_quantiles_of_middling_groups_keep_few_values(spark, monkeypatch):
+    """Groups far below SMALL values are told by their brackets, too: only what lies there is kept apart. More groups than are sent to all tasks give the same."""
+    monkeypatch.setattr(quantiles, "SMALL", 3000)
+    monkeypatch.setattr(quantiles, "ACCURACY", 200)
+    df = spark.range(4000).select((F.col("id") % 2).alias("k"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double").alias("x"))
+    kept, sums = [], quantiles.running_sums
+    monkeypatch.setattr(quantiles, "running_sums", lambda counts, *how: kept.append(counts.count()) or sums(counts, *how))
+    values = {k: [r.x for r in df.where(F.col("k") == k).collect()] for k in (0, 1)}
+    for groups_sent in (10, 1):
+        monkeypatch.setattr(quantiles, "GROUPS", groups_sent)
+        got = {r.k: r.m for r in quantiles.quantiles(df, {"m": ("x", 0.5)}, "k").collect()}
+        assert got == {k: pytest.approx(np.median(v), rel=1e-12) for k, v in values.items()}
+    assert max(kept) < 400
+
+
 @pytest.mark.parametrize("buckets", [2, 256])
 def test_ranks_and_running_sums(spark, monkeypatch, buckets):
     monkeypatch.setattr(quantiles, "BUCKETS", buckets)
