@@ -289,3 +289,16 @@ def test_comparables_of_large_keys_come_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(comparables, name, value)
     assert rows() == whole and len(whole) > 300 and len({v[0] for v in whole.values()}) > 1
     assert comparables.estimate(df.where("false"), df).count() == 0 == comparables.estimate(df, df.where("false")).count()
+
+
+def test_cross_validation_finds_its_rows_once(spark):
+    """However many folds, statistics and figures read them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def price(i):
+        seen.add(1)
+        return 1000.0 + i
+
+    rows = spark.range(60).select("id", F.udf(price, "double")("id").alias("price"), (F.col("id") % 2).alias("fold"), F.col("id").cast("double").alias("size"))
+    got = evaluation.cross_validate(rows, "fold", 2, numeric=["size"], categorical=[], model="random_forest")
+    assert metrics.errors(got.withColumn("actual_price", F.col("price"))).first().n == 60 and seen.value == 60
