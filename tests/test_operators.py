@@ -291,6 +291,35 @@ def test_comparables_of_large_keys_come_in_blocks(spark, monkeypatch):
     assert comparables.estimate(df.where("false"), df).count() == 0 == comparables.estimate(df, df.where("false")).count()
 
 
+def test_comparables_of_a_block_are_scored_by_distinct_values(monkeypatch):
+    """Distances of points that repeat are found once for a tile, and the figures are those of all pairs."""
+    rng, seen, metres = np.random.default_rng(3), [], comparables._metres
+    monkeypatch.setattr(comparables, "_metres", lambda *a: seen.append(metres(*a)) or seen[-1])
+
+    def rows(n):
+        point, many = rng.integers(0, 20, n), {"built": 300, "land": 90, "beds": 5, "baths": 4, "park": 3, "ageb": 3}
+        facts = {c: rng.integers(1, high, n).astype(float) for c, high in many.items()}
+        return facts | {"self": np.arange(n), "klass": np.ones(n, int), "neighborhood": np.zeros(n, int), "lat": 19 + point / 100, "lon": point % 3 - 99.0, "unit": np.sort(rng.random(n)), **{f"r{i}": np.full(n, np.nan) for i in range(3)}}
+
+    t, k = rows(150), rows(1300)
+    k["unit"][-7:] = np.nan
+    got = dict(zip(["self", "likes", "n", "scores", "weights", "p25", "p50", "p75"], comparables._block(t, k, None, 35.0, True), strict=True))
+    assert 0 < sum(x.size for x in seen) <= 20 * 20 * -(-150 // comparables._TILE)
+    rise = lambda a, b, start: min(1.0, max(0.0, (min(a, b) / max(a, b) - start) / (1 - start)))
+    for i in range(0, 150, 15):
+        a = {n: v[got["self"][i]] for n, v in t.items()}
+        far = metres(a["lat"], a["lon"], k["lat"], k["lon"])
+        score = np.array([rise(a["built"], x, 0.7) * 20 + rise(a["land"], y, 0.5) * 15 for x, y in zip(k["built"], k["land"], strict=True)])
+        score += sum(np.maximum(0, 1 - np.abs(k[n] - a[n]) / 2) * w for n, w in (("beds", 10), ("baths", 8), ("park", 5)))
+        score += np.maximum(0, (1 - far / 3000) * 25) + 10 + np.where(k["ageb"] == a["ageb"], 7, 0)
+        ok = (score >= 35) & (k["self"] != a["self"])
+        used = ok & ~np.isnan(k["unit"])
+        weight = np.where(used, np.exp(score / 50) / (1 + far / 1000), 0)
+        at = np.searchsorted(np.cumsum(weight), 0.5 * weight.sum())
+        assert (got["likes"][i], got["n"][i], got["p50"][i]) == (ok.sum(), used.sum(), k["unit"][at]) and got["n"][i] > 0
+        assert np.allclose([got["scores"][i], got["weights"][i]], [score[used].sum(), weight.sum()])
+
+
 def test_cross_validation_finds_its_rows_once(spark):
     """However many folds, statistics and figures read them."""
     seen = spark.sparkContext.accumulator(0)
