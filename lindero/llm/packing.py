@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lindero.llm.common import bounded_batches, slices, utf8
+from lindero.llm.common import bounded_batches, lean, slices, utf8
 from lindero.llm.trie import Cache
 
 #: Pieces that one task packs together, about.
@@ -31,6 +32,8 @@ SHARD_ROWS = 16_000
 KNOWN_WORDS = 600_000
 #: A letter that keeps words apart in one call of the tokenizer, and how many words go into a call.
 _MARK, _TOGETHER = "\x01", 64
+#: Calls that the tokenizer takes at a time: what it says of a token takes some hundred bytes.
+_CALLS = 32
 
 
 def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", close_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -54,7 +57,8 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, id_col:
             strings, out = [w.decode() for w in words], [b""] * len(words)
             plain = [i for i, w in enumerate(strings) if tied and _MARK not in w]
             groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
-            for group, e in zip(groups, tokenizer.encode_batch_fast([f" {_MARK} ".join([strings[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            encoded = (e for some in batched(groups, _CALLS) for e in tokenizer.encode_batch_fast([f" {_MARK} ".join([strings[i] for i in g]) for g in some], add_special_tokens=False))
+            for group, e in zip(groups, encoded, strict=True):
                 ids = np.array(e.ids, "<u4")
                 cut = (4 * np.flatnonzero(ids == mark[0])).tolist()
                 raw = ids.tobytes()
@@ -91,7 +95,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, id_col:
                 columns += [pa.array(ids, pa.binary())] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 class SumOfSquares:
@@ -155,7 +159,7 @@ def pack(parts: DataFrame, rows: int, capacity: int = 2048, keys: tuple[str, ...
             columns = [batch.column(i) for i in range(batch.num_columns - 1)] + [pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(lean(run), schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

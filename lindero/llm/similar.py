@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lindero.llm.common import bounded_batches, drop_since, drop_tables, map_texts, slices, tables_so_far, utf8, written_table
+from lindero.llm.common import bounded_batches, drop_since, drop_tables, lean, map_texts, slices, tables_so_far, utf8, written_table
 from lindero.llm.graph import components
 
 #: The seed of XXH64.
@@ -206,7 +206,7 @@ def close_pairs(met: DataFrame, least: tuple[int, int]) -> DataFrame:
                 held.append((side[a:b], rep[a:b], n[a:b], label[a:b], cell[a:b], of[a:b]))
         yield from done()
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(lean(run), "a long, b long")
 
 
 def among(wanted: DataFrame) -> tuple[Callable[[F.Column], F.Column], Broadcast]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lindero.llm.common import bounded_batches, drop_since, drop_tables, plain_names, tables_so_far, text_key, utf8, written_table
+from lindero.llm.common import bounded_batches, drop_since, drop_tables, lean, plain_names, tables_so_far, text_key, utf8, written_table
 
 MIN_WORDS, GRAM = 50, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -101,7 +101,7 @@ def _suffixes(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
                 columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(first.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(r.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "at", "windows", "gram", "reach"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, at int, windows int, gram long, reach long")
+    return docs.mapInArrow(lean(run), f"id {docs.schema['id'].dataType.simpleString()}, key long, at int, windows int, gram long, reach long")
 
 
 def _windows(asked: DataFrame, min_words: int) -> DataFrame:
@@ -121,7 +121,7 @@ def _windows(asked: DataFrame, min_words: int) -> DataFrame:
                 columns += [batch.column(0).take(of), batch.column(1).take(of), pa.array(start.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["window", "gram", "reach", "many", "place", "id", "key", "at"])
 
-    return asked.mapInArrow(run, f"window long, gram long, reach long, many boolean, place int, id {asked.schema['id'].dataType.simpleString()}, key long, at int")
+    return asked.mapInArrow(lean(run), f"window long, gram long, reach long, many boolean, place int, id {asked.schema['id'].dataType.simpleString()}, key long, at int")
 
 
 def _place(at: str = "at") -> F.Column:
@@ -195,7 +195,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
                 columns = [batch.column(0).take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(keep, pa.bool_()), pa.array(first, batch.column(0).type), batch.column(1).take(at)]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start_word", "end_word", "keep", "first_id", "text_key"])
 
-    return by_doc.mapInArrow(run, f"`{id_col}` {kind}, start_word int, end_word int, keep boolean, first_id {kind}, text_key long")
+    return by_doc.mapInArrow(lean(run), f"`{id_col}` {kind}, start_word int, end_word int, keep boolean, first_id {kind}, text_key long")
 
 
 def _spans(marks: list[dict], which: str, min_words: int) -> list[list]:
@@ -253,4 +253,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             columns = [column if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return joined.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)

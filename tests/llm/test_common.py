@@ -30,3 +30,16 @@ def test_threads_keep_their_tables(spark):
     own = written_table(spark.range(8))
     drop_since(spark, mark)
     assert not stays(own) and theirs[0].count() == 7
+
+
+def test_workers_give_memory_back_before_and_after_a_step(monkeypatch):
+    """Also where a step fails or is left before its end."""
+    from lindero.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+    assert list(common.lean(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and seen == ["back"] * 2
+    part = common.lean(lambda batches: iter(batches))([1, 2])
+    assert next(part) == 1 and len(seen) == 3
+    part.close()
+    assert len(seen) == 4
