@@ -14,7 +14,9 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from itertools import batched
 
@@ -34,6 +36,50 @@ KNOWN_WORDS = 600_000
 _MARK, _TOGETHER = "\x01", 64
 #: Calls that the tokenizer takes at a time: what it says of a token takes some hundred bytes.
 _CALLS = 32
+#: Words of Latin letters and up to three marks behind them, and what such a word does not have. The letters are composed already and are
+#: tokens apart from the marks, so normalizing and splitting by these rules leave them as they are but for their case.
+_PLAIN, _OTHER = re.compile(r"([a-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]{0,3})"), re.compile(r"[^a-zÀ-ÖØ-öø-ÿ.,;:!?]")
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+_END = "</w>"
+
+
+def latin_words(tokenizer):
+    """A function from distinct words of lower-case Latin letters to their ids as bytes, by the tokenizer's model without its rules; None where these are others."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    told = json.loads(tokenizer.to_str())
+    model = told["model"]
+    same = all(told[k] == v for k, v in _RULES.items()) and model["type"] == "BPE" and model["end_of_word_suffix"] == _END and not model["dropout"] and not model["continuing_subword_prefix"]
+    if not same or not all(_OTHER.search(t["content"]) for t in told["added_tokens"]):
+        return None
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    ends = np.zeros(1 + max(model["vocab"].values()), bool)  # the last token of a word, and no other, has the suffix
+    ends[[n for t, n in model["vocab"].items() if t.endswith(_END)]] = True
+
+    def encode(words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for some in batched(batched(words, _TOGETHER), _CALLS):
+            for group, e in zip(some, bare.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                cut = (4 * (1 + np.flatnonzero(ends[ids]))).tolist()
+                raw = ids.tobytes()
+                if len(cut) != len(group) or cut[-1] != len(raw):  # a letter that the model does not have
+                    out += [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in group]
+                else:
+                    out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+        return out
+
+    return encode
 
 
 def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", close_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -52,7 +98,35 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, id_col:
         mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
         tied = len(mark) == 1  # a token of its own, which nothing but this letter becomes
 
+        latin, marks = latin_words(tokenizer), {"": b""}
+
         def encode(words):
+            """The ids of distinct words; those of Latin letters with other marks behind them are looked up once."""
+            if not latin:
+                return encode_as_told(words)
+            strings, out = [w.decode() for w in words], [b""] * len(words)
+            stems, new, other = [], {}, []
+            for i, s in enumerate(strings):
+                found = _PLAIN.fullmatch(s)
+                if found:
+                    stem, behind = found.groups()
+                    stem = stem.lower()
+                    stems.append((i, stem, behind))
+                    new[stem] = None
+                    if behind not in marks:
+                        marks[behind] = np.array(tokenizer.encode(behind, add_special_tokens=False).ids, "<u4").tobytes()
+                else:
+                    other.append(i)
+            ids = {s: known.get(s.encode()) for s in new}
+            unknown = [s for s, x in ids.items() if x is None]
+            ids.update(zip(unknown, latin(unknown), strict=True))
+            for i, stem, behind in stems:
+                out[i] = ids[stem] + marks[behind]
+            for i, x in zip(other, encode_as_told([words[i] for i in other]), strict=True):
+                out[i] = x
+            return out
+
+        def encode_as_told(words):
             # No token spans white space, so the words between white space are encoded once each, many in one call.
             strings, out = [w.decode() for w in words], [b""] * len(words)
             plain = [i for i, w in enumerate(strings) if tied and _MARK not in w]

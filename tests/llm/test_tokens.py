@@ -8,7 +8,7 @@ from helpers import AWKWARD, documents, prose
 from tokenizers import Tokenizer
 
 from lindero.llm.bpe import Encoder, encode_decode
-from lindero.llm.packing import SumOfSquares, pack, pack_documents
+from lindero.llm.packing import SumOfSquares, latin_words, pack, pack_documents
 from lindero.llm.tokencount import Counter, load_scores, token_counts
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -155,3 +155,20 @@ def test_rows_without_ids_spread(spark):
     parts = spark.createDataFrame([(None, 0, 0, 10 + i % 50, i) for i in range(400)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     got = pack(parts, 400, 64, ("doc_id", "piece", "start", "ids_crc32"), shard_rows=50).collect()
     assert len({r.sequence_id >> 40 for r in got}) > 5 and len(got) == 400
+
+
+def test_latin_words_are_encoded_without_the_rules(spark, tmp_path):
+    t, r = Tokenizer.from_file(WORD), random.Random(8)
+    words = list({"".join(r.choice("etaoinsréñßöçÿàø") for _ in range(r.randint(1, 14))) for _ in range(2000)})
+    encode = latin_words(t)
+    assert encode(words) == [struct.pack(f"<{len(x)}I", *x) for x in (t.encode(w, add_special_tokens=False).ids for w in words)] and encode([]) == []
+    assert latin_words(Tokenizer.from_file(BYTE)) is None
+    t.add_special_tokens(["abc"])
+    assert latin_words(t) is None
+    tails = ["", ".", ",", "...", "?!", "!!!!", "'s", "'s,", "-", "\u0301", "\u0301.", "\u0338", "1", ".x", "×", "ª"]
+    rows = [(i, " ".join(r.choice([w, w.upper(), w.title()]) + r.choice(tails) for w in r.sample(words, 60))) for i in range(60)]
+    got = {d: (n, crc) for d, _, _, n, crc, *_ in pack_documents(documents(spark, rows), WORD).collect()}
+    t = Tokenizer.from_file(WORD)
+    for i, text in rows:
+        ids = t.encode(text, add_special_tokens=False).ids + [0]
+        assert got[i] == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
