@@ -59,12 +59,25 @@ def written_table(df: DataFrame, by: str | None = None) -> DataFrame:
     place = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     _WRITTEN[place] = (next(_NUMBERS), threading.get_ident())
     writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(place)
+    with _shuffles_go(spark):
+        writer.parquet(place)
     out = spark.read.schema(df.schema).parquet(place)
     out.lindero_place = place
     return out
 
 
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession):
+    """What a query shuffles goes from the disks as soon as it has ended, not when the driver's memory is next cleared."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def drop_tables(*tables: DataFrame) -> None:
     """Remove written tables that nothing reads any more."""
     for t in tables:

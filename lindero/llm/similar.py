@@ -2,7 +2,7 @@
 
 Of two such sets of n and m shingles, at least 0.8 max(n, m) are shared. So, with all shingles in one
 order, the first n - 0.8 n + k of the one and the first m - 0.8 m + k of the other share k or more.
-These first ones are the keys under which texts meet. The order may be any that all texts share: rare
+These first ones are the keys under which texts meet; keys that the same texts have count as one. The order may be any that all texts share: rare
 shingles come first, by counts over all texts in a table of fixed size, so that what many texts have is
 rarely a key and a text that differs in more than a fifth of its shingles meets hardly any other.
 
@@ -46,6 +46,8 @@ COUNTERS, _BLOCK = 1 << 24, 1 << 16
 BITS, _PAGE = 1 << 26, 1 << 15
 #: Rounds that compare with hubs only.
 HUB_ROUNDS = 3
+#: Passes in which keys are counted, each over its share of them, so that only a share is ever in a shuffle.
+PASSES = 4
 #: Cells whose shingles are counted, a byte each, and texts of a key that a task compares with as many others at a time.
 CELLS, CHUNK = 128, 1024
 
@@ -255,6 +257,25 @@ def similar(pairs: DataFrame, rows: DataFrame, docs: DataFrame, id_col: str, tex
     return out
 
 
+def shared(with_keys: DataFrame) -> DataFrame:
+    """rep, n, key, times: the keys of several texts, of those that the same texts have one only, with how many these are.
+
+    Most keys are of one text, and a passage that some texts share gives them all its keys.
+    """
+    all_, parts = with_keys.select("rep", F.explode("keys").alias("key")), []
+    for i in range(PASSES):
+        own = all_.where(F.pmod("key", F.lit(PASSES)) == i)
+        several = own.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+        parts.append(written_table(own.join(several, "key")))
+    met = reduce(DataFrame.unionByName, parts)
+    # Sets of texts are told apart by 128 bits, their size and their ends.
+    by = [F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")]
+    kinds = met.groupBy("key").agg(*by).groupBy("size", "low", "high", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times"))
+    out = written_table(met.join(kinds.select("key", "times"), "key").join(with_keys.select("rep", "n"), "rep").select("rep", "n", "key", "times"))
+    drop_tables(*parts)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
     """id_col and component_id, the smallest id that can be reached over pairs of similar texts."""
     mark = tables_so_far()
@@ -266,10 +287,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written_table(with_keys.select("rep", "whole", "first", "cells"))
     rows = written_table(found.select("id", "whole").join(reps.select("whole", "rep"), "whole"))
     drop_tables(found)
+    met = held = shared(with_keys)
+    drop_tables(with_keys)
     needed = lambda n: F.least(F.lit(4), F.lit(1) + F.floor(F.col(n) / 10))  # noqa: E731  shared_keys()
     fits = F.expr(f"a.n * {least[1]} >= b.n * {least[0]} and b.n * {least[1]} >= a.n * {least[0]}")
     edges: list[DataFrame] = []
-    held, met, joined = with_keys, with_keys.select("rep", "n", F.explode("keys").alias("key")), None
+    joined = None
     for turn in range(HUB_ROUNDS + 1):
         # Keys with one label keep it, so only the others go on. They are counted before the texts of a key meet, which the join may split.
         label = F.col("rep") if joined is None else F.coalesce("label", "rep")
@@ -277,11 +300,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         of_key = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("key", "size")
         mixed = written_table(now.join(of_key, "key"))
         drop_tables(held)
-        held, met = mixed, mixed.select("rep", "n", "key")
+        held, met = mixed, mixed.select("rep", "n", "key", "times")
         if turn < HUB_ROUNDS:
             hub = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("at"), "rep", "n", "label")).alias("b"))
-            near = mixed.select("key", F.struct("rep", "n", "label").alias("a")).join(hub, "key").where("a.label <> b.label").where(fits)
-            counted = near.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n")).agg(F.count(F.lit(1)).alias("times"))
+            near = mixed.select("key", "times", F.struct("rep", "n", "label").alias("a")).join(hub, "key").where("a.label <> b.label").where(fits)
+            counted = near.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n")).agg(F.sum("times").alias("times"))
             pairs = counted.where(F.col("times") >= F.least(needed("a_n"), needed("b_n"))).select("a", "b")
         else:
             # Of a text's keys only those under which labels still differ can be shared by a pair, so no others are carried along.

@@ -1,4 +1,6 @@
+import pathlib
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -6,6 +8,7 @@ from helpers import AWKWARD, documents, prose
 
 import corpus_pipeline
 from lindero.llm import similar
+from lindero.llm.common import written_table
 from lindero.llm.similar import near_duplicates
 
 
@@ -92,6 +95,25 @@ def test_last_round_carries_open_keys_only(spark, monkeypatch):
     assert carried and all(k in keys and held.issuperset(keys) for k, keys in carried)
 
 
+def test_keys_of_the_same_texts_are_one(spark):
+    """Texts that share a passage share all its keys; a text's other keys are its own."""
+    keys = {1: [1, 2, 3, 4, 10, 11], 2: [1, 2, 3, 4, 12], 3: [3, 4, 5, -7], 4: [5, -7, 13], 5: [14, 15], 6: [], 7: [1, 2, 3, 4]}
+    rows = spark.createDataFrame([(rep, 9 * rep, k) for rep, k in keys.items()], "rep long, n long, keys array<long>")
+    got = sorted(map(tuple, similar.shared(rows).select("rep", "n", "key", "times").collect()))
+    assert got == sorted((rep, 9 * rep, key, 2) for key, reps in {1: (1, 2, 7), 3: (1, 2, 3, 7), -7: (3, 4)}.items() for rep in reps)
+
+
+def test_shuffles_go_with_their_query(spark, tmp_path):
+    """No file of a shuffle is left when a table has been written."""
+    left = lambda: {p for top in {spark.conf.get("spark.local.dir", tempfile.gettempdir())} for p in pathlib.Path(top).glob("blockmgr-*/*/shuffle_*.data")}
+    before = left()
+    out = written_table(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    made = left() - before
+    assert out.count() == 1000
+    spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "plain"))
+    assert not made and left() - before
+
+
 def test_counts_of_shingles(spark):
     rows = near_copies() + [(9000 + i, "the same text for all of them here") for i in range(300)]
     got = similar.shingle_counts(documents(spark, rows).repartition(7))
