@@ -63,3 +63,23 @@ def test_likely_duplicates_stop_where_enough_pairs_score_more(spark, monkeypatch
     monkeypatch.setattr(spatial, "_pairs", lambda slim, least: met.append(least) or pairs(slim, least))
     assert spatial.likely_duplicates(df, most=3).collect() == want[:3] and min(met) > 0.62
     assert spatial.likely_duplicates(df, most=len(want) + 1).collect() == want and min(met) == 0.62
+
+
+def test_seed_stability_has_ten_seeds_by_five_splits(spark, monkeypatch):
+    """The registered query makes as many fits as the operator does by itself, each on rows of its own."""
+    from lindero.operators import evaluation
+
+    seeds, tests = [], set()
+
+    def fitted(train, *a, **how):
+        seeds.append(how["seed"] if "seed" in how else a[-1])
+
+    def predicted(model, rows):
+        tests.add(rows.select(F.bit_xor(F.xxhash64("price")).alias("x")).first().x)
+        return rows.withColumn("predicted_price", F.col("price") * 2)
+
+    monkeypatch.setattr(evaluation, "fit_model", fitted)
+    monkeypatch.setattr(evaluation, "predict", predicted)
+    got = {r.metric: r for r in QUERIES["seed_stability"](spark, FOLDER).collect()}
+    assert sorted(seeds) == sorted([*range(10)] * 5) and len(tests) == 50
+    assert set(got) == {"mae", "mape", "r2", "within_20_pct", "within_30_pct"} and got["mape"].mean == pytest.approx(100) and got["mae"].std > 0
