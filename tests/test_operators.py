@@ -1,6 +1,7 @@
 """Operators on small tables: quantiles and ranks against plain Python, models, streams and whole plans."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -331,3 +332,20 @@ def test_cross_validation_finds_its_rows_once(spark):
     rows = spark.range(60).select("id", F.udf(price, "double")("id").alias("price"), (F.col("id") % 2).alias("fold"), F.col("id").cast("double").alias("size"))
     got = evaluation.cross_validate(rows, "fold", 2, numeric=["size"], categorical=[], model="random_forest")
     assert metrics.errors(got.withColumn("actual_price", F.col("price"))).first().n == 60 and seen.value == 60
+
+
+def test_structured_pages_are_searched_only_for_words_that_they_have(spark):
+    """A long number would take each pattern of a number beside a label the square of its digits; letters that patterns take for others count as these."""
+    told = '<script type="application/ld+json">{"name":"Casa","offers":{"price":"5"},"geo":{"latitude":"18.5","longitude":-99.0},"address":{"addressLocality":"Centro","postalCode":"62000"}}</script>'
+
+    def read(said):
+        pages = spark.createDataFrame([("p", "https://e.com/casa/1234", f"<html><body>{told}<p>{said}</p></body></html>")], "source string, url string, content string")
+        begin = time.monotonic()
+        return portals.parse_structured(pages).first(), time.monotonic() - begin
+
+    few, short = read("7" * 30 + " x")
+    many, long = read("7" * 40_000 + " x")
+    assert (few.bedrooms, many.bedrooms, many.price, many.latitude, many.neighborhood) == (None, None, 5, 18.5, "Centro")
+    assert long < short + 10
+    odd = read("3 RECÁMARAS, baño\u017f 2.5, E\u017ftac\u0131onam\u0130entos 4, LOTE 90 M², 70 m2 de CONSTRUCC\u0130ÓN")[0]
+    assert (odd.bedrooms, odd.bathrooms, odd.parking_spaces, odd.land_area_m2, odd.construction_area_m2) == (3, 2.5, 4, 90, 70)
