@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 
 import duckdb
 import pandas as pd
@@ -83,3 +84,18 @@ def test_seed_stability_has_ten_seeds_by_five_splits(spark, monkeypatch):
     got = {r.metric: r for r in QUERIES["seed_stability"](spark, FOLDER).collect()}
     assert sorted(seeds) == sorted([*range(10)] * 5) and len(tests) == 50
     assert set(got) == {"mae", "mape", "r2", "within_20_pct", "within_30_pct"} and got["mape"].mean == pytest.approx(100) and got["mae"].std > 0
+
+
+@pytest.mark.parametrize("sources", [3, 2, 1, 0])
+def test_sources_are_dealt_only_to_sides_that_they_can_be_on(spark, sources):
+    """The first source is never the right one of a pair, nor the last the left one."""
+    from lindero.operators import spatial
+
+    df = sample.listings(spark, FOLDER).where(F.col("source") < "portal_" + "abcd"[sources])
+    pairs = spatial.cross_source_pairs(df)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    bounds = set(re.findall(r"source#\d+ ([<>]) (portal_\w)", plan))
+    assert sources == 0 or bounds == {(">", "portal_a"), ("<", "portal_" + "abc"[sources - 1])}
+    of = {r.id: r.source for r in df.select("id", "source").collect()}
+    got = pairs.collect()
+    assert all(of[r.left_id] < of[r.right_id] for r in got) and bool(got) == (sources > 1)
